@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrank.llm import neardup
-from webrank.plans.session import load
+from webrank.llm import mixing, neardup, packing, ranking, residuals, spans, tokens
+from webrank.plans.session import load, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,11 +33,116 @@ def p2_page_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf, "crawl"), "crawl_id", "page", PAGE_PLAN)
 
 
+SCORES = {"tf": 1.0, "rank": 1.0, "inlinks": 1.0, "visits": 1.0}
+SPAN = 200
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """``(word, url, tf, rank, inlinks, visits)``: the URLs that hold a wanted word, with their scores."""
+    words = load(spark, sf, "queries").select("word").distinct()
+    tf = load(spark, sf, "tf").select("url", "word", "tf").distinct().join(words, "word")
+    ranks = load(spark, sf, "pageranks").select("url", "rank", "inlinks", "visits").distinct()
+    return tf.join(ranks, "url", "left")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The five best URLs of each wanted word by Borda count over four scores."""
+    points = ranking.borda(_candidates(spark, sf), "word", "url", SCORES)
+    return ranking.top(points, "word", "url", 5).select("word", "url")
+
+
+def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole ranking of each wanted word."""
+    return ranking.positions(ranking.borda(_candidates(spark, sf), "word", "url", SCORES), "word", "url")
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Characteristic words: the margins of the residuals, then the exact share and rarity."""
+    scored = residuals.adjusted_residuals(load(spark, sf, "tf"), "url", "word", "tf")
+    rarity = F.log(F.col("n_records") / F.col("term_records")) / F.log(F.col("n_records").cast("double"))
+    return scored.where((F.col("term_records") >= 3) & (F.col("observed") / F.col("record_total") * rarity >= 0.06)).select("url", "word")
+
+
+def p7_residuals(spark: SparkSession, sf: str) -> DataFrame:
+    """The adjusted residual of every URL and word."""
+    scored = residuals.adjusted_residuals(load(spark, sf, "tf"), "url", "word", "tf")
+    return scored.select("url", "word", "observed", F.round("residual", 5).alias("residual"))
+
+
+def _containers(spark: SparkSession, sf: str) -> dict[str, int]:
+    rows = load(spark, sf, "containers").where("container is not null and capacity > 0").distinct().limit(1000).collect()
+    return {r.container: r.capacity for r in rows}
+
+
+def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """The contents of every container of each capacity."""
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    sizes = materialize(tokens.token_sizes(docs, ["doc_id"], "text"))
+    return packing.pack_containers(sizes, "doc_id", "n_tokens", _containers(spark, sf))
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.mix_sources(tokens.token_sizes(docs, ["doc_id", "source", "lang"], "text"), load(spark, sf, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """The records chosen and how often each is used."""
+    return _mix(spark, sf)[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Budget, tokens and share reached of each source."""
+    return _mix(spark, sf)[1]
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of documents that share a passage of at least 200 characters."""
+    windows, members = spans.shared_windows(load(spark, sf, "documents"), "doc_id", "text", SPAN)
+    return spans.shared_pairs(windows, members, SPAN)
+
+
+def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of each document lies in passages that also occur in another."""
+    windows, members = spans.shared_windows(load(spark, sf, "documents"), "doc_id", "text", SPAN)
+    return spans.shared_share(windows, members, SPAN)
+
+
+_SCORED = """
+    WITH c AS (SELECT DISTINCT t.word, t.url, t.tf, p.rank, p.inlinks, p.visits
+               FROM (SELECT DISTINCT url, word, tf FROM tf) t JOIN (SELECT DISTINCT word FROM queries) q USING (word)
+               LEFT JOIN (SELECT DISTINCT url, rank, inlinks, visits FROM pageranks) p USING (url)),
+    l AS (SELECT word, url, unnest(['tf','rank','inlinks','visits']) AS k,
+                 unnest([CAST(tf AS DOUBLE), rank, CAST(inlinks AS DOUBLE), CAST(visits AS DOUBLE)]) AS v FROM c),
+    r AS (SELECT word, url, CASE WHEN v IS NULL THEN (count(v) OVER (PARTITION BY word, k) + 1) / 2.0
+                 ELSE rank() OVER (PARTITION BY word, k ORDER BY v NULLS LAST)
+                      + (count(*) OVER (PARTITION BY word, k, v) - 1) / 2.0 END AS r FROM l),
+    s AS (SELECT word, url, round(sum(r), 6) AS points FROM r GROUP BY word, url),
+    o AS (SELECT word, url, points, row_number() OVER (PARTITION BY word ORDER BY points DESC, url) AS position FROM s)
+"""
+_MARGINS = """
+    WITH d AS (SELECT url, word, sum(tf) AS o FROM (SELECT DISTINCT url, word, tf FROM tf
+               WHERE url IS NOT NULL AND word IS NOT NULL AND tf > 0) GROUP BY url, word),
+    u AS (SELECT url, sum(o) AS rt FROM d GROUP BY url), w AS (SELECT word, sum(o) AS tt, count(*) AS tn FROM d GROUP BY word),
+    g AS (SELECT CAST(sum(rt) AS DOUBLE) AS g, count(*) AS n FROM u),
+    m AS (SELECT url, word, o, rt, tt, tn, n, g, rt * tt / g AS e FROM d JOIN u USING (url) JOIN w USING (word), g)
+"""
+SQL = {
+    "p6_found": _SCORED + "SELECT word, url FROM o WHERE position <= 5",
+    "p6_ranking": _SCORED + "SELECT word, url, points, position FROM o",
+    "p7_found": _MARGINS + "SELECT url, word FROM m WHERE tn >= 3 AND o / rt * (ln(n / tn) / ln(n)) >= 0.06",
+    "p7_residuals": _MARGINS
+    + """SELECT url, word, CAST(o AS BIGINT) AS observed,
+                round(CASE WHEN e * (1 - rt / g) * (1 - tt / g) > 0 THEN (o - e) / sqrt(e * (1 - rt / g) * (1 - tt / g)) END, 5) AS residual FROM m""",
+}
+
+
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
-    return {"p2_found": p2_found, "p2_page_groups": p2_page_groups}
+    functions = [p2_found, p2_page_groups, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
+    return {f.__name__: f for f in functions}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return dict(SQL)

@@ -114,3 +114,33 @@ def distinct_per_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
     keep = np.ones(len(hashes), bool)
     keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
     return hashes[keep], rows[keep]
+
+
+def row_slices(arr: pa.Array, limit: int) -> list[tuple[int, int]]:
+    """``(start, length)`` of runs of rows with at most ``limit`` bytes of text each, one row at least."""
+    _, offsets = string_buffers(arr)
+    out, at = [], 0
+    while at < len(arr):
+        end = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
+        end = max(end, at + 1)
+        out.append((at, end - at))
+        at = end
+    return out
+
+
+def window_hashes(H: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` values from their :func:`prefix_hash`."""
+    m = len(H) - size
+    if m <= 0:
+        return np.zeros(0, np.uint64)
+    return mix((H[size:] - H[:-size]) * powers(INVERSE, m))
+
+
+def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every run of ``width`` values, ``len - width + 1`` of them, by doubling."""
+    size, cur = 1, x
+    while size * 2 <= width:
+        cur = np.minimum(cur[:-size], cur[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(cur[:-rest], cur[rest:]) if rest else cur
