@@ -3,7 +3,7 @@
 Weights run down a tree domain - language - source. A source can supply at most ``max_repeats`` times its size; what it
 lacks is taken over by the sources of the same domain and language in proportion to their weights, then by the other
 languages of the domain, then by all domains. Each source then takes whole epochs and a prefix, by a seeded order, of one
-more.
+more, whose last record is taken if that brings the size nearer to the budget.
 """
 
 from __future__ import annotations
@@ -97,7 +97,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     whole = joined.where("before + bt <= rest").select("source", "doc_id", "n_tokens", "epochs", F.lit(1).alias("extra"))
     inner = Window.partitionBy("source", "bucket").orderBy("o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     edge = joined.where("before + bt > rest and before < rest").withColumn("upto", F.col("before") + F.sum("n_tokens").over(inner))
-    edge = edge.select("source", "doc_id", "n_tokens", "epochs", (F.col("upto") <= F.col("rest")).cast("int").alias("extra"))
+    edge = edge.select("source", "doc_id", "n_tokens", "epochs", (F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest")).cast("int").alias("extra"))
     late = joined.where("before + bt > rest and before >= rest").select("source", "doc_id", "n_tokens", "epochs", F.lit(0).alias("extra"))
     repeats = (F.col("epochs") + F.col("extra")).alias("repeats")
     choice = whole.unionByName(edge).unionByName(late).select("source", "doc_id", "n_tokens", repeats).where("repeats > 0")
