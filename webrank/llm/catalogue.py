@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrank.llm import mixing, neardup, packing, ranking, residuals, spans, tokens
+from webrank.llm import mixing, mojibake, neardup, packing, ranking, residuals, spans, tokens
 from webrank.plans.session import load, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,24 @@ def p2_page_groups(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_duplicates(load(spark, sf, "crawl"), "crawl_id", "page", PAGE_PLAN)
 
 
+def _garbled(spark: SparkSession, sf: str, restore: bool) -> DataFrame:
+    pages = load(spark, sf, "crawl").select(F.lit("page").alias("field"), F.col("crawl_id").alias("id"), F.col("page").alias("value"))
+    titles = load(spark, sf, "results").select(F.lit("title").alias("field"), F.col("result_id").alias("id"), F.col("title").alias("value"))
+    both = pages.unionByName(titles)
+    model = mojibake.train(both, ["value"])
+    return mojibake.find_garbled(both, ["field", "id"], "value", model, restore).dropDuplicates(["field", "id"])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages and titles of which at least a part was decoded wrongly."""
+    return _garbled(spark, sf, False).select("field", "id")
+
+
+def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same records with the original text wherever it can be restored."""
+    return _garbled(spark, sf, True)
+
+
 SCORES = {"tf": 1.0, "rank": 1.0, "inlinks": 1.0, "visits": 1.0}
 SPAN = 200
 
@@ -139,7 +157,7 @@ SQL = {
 
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
-    functions = [p2_found, p2_page_groups, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
+    functions = [p2_found, p2_page_groups, p3_found, p3_restored, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
     return {f.__name__: f for f in functions}
 
 
