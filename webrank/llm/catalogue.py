@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrank.llm import mixing, mojibake, neardup, packing, ranking, residuals, spans, tokens
+from webrank.llm import mixing, mojibake, neardup, packing, pages, ranking, residuals, spans, tokens
 from webrank.plans.session import load, materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,29 @@ PAGE_PLAN = neardup.Plan(kind="word", size=3, similarity=0.6, width=4, partition
 URL_PLAN = neardup.Plan(kind="char", size=4, similarity=0.7, width=5, partitions=64, agree=2)
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the main body of each stored page and of each HTML page; spam pages have none."""
+    return pages.main_lines(load(spark, sf, "crawl"), load(spark, sf, "raw_pages"), load(spark, sf, "documents"))
+
+
+def p1_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The main body of each stored page, its lines joined."""
+    read = pages.read_pages(load(spark, sf, "crawl"), load(spark, sf, "raw_pages"), load(spark, sf, "documents"), text=True)
+    return read.pages.where("not spam").select("crawl_id", "main_text", F.size("main").alias("n_lines"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages whose body is keywords, links or tags rather than sentences."""
+    read = pages.read_pages(load(spark, sf, "crawl"), load(spark, sf, "raw_pages"), load(spark, sf, "documents"))
+    return read.pages.where("spam").select("crawl_id")
+
+
+def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of prose and number of tokens in the body of each page."""
+    read = pages.read_pages(load(spark, sf, "crawl"), load(spark, sf, "raw_pages"), load(spark, sf, "documents"))
+    return read.pages.select("crawl_id", F.round("prose_share", 6).alias("prose_share"), "n_tokens")
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of fetches with nearly the same page and pairs of result lines with nearly the same URL."""
     crawl = load(spark, sf, "crawl").select("crawl_id", "page")
@@ -157,7 +180,7 @@ SQL = {
 
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
-    functions = [p2_found, p2_page_groups, p3_found, p3_restored, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
+    functions = [p1_found, p1_main_text, p2_found, p2_page_groups, p3_found, p3_restored, p4_found, p4_scores, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
     return {f.__name__: f for f in functions}
 
 
