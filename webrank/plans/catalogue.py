@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrank.operators.treeagg import hot_values, tree_aggregate
+from webrank.plans import collections_catalogue, web_catalogue
 from webrank.plans.session import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,9 +57,9 @@ P5_SQL = {
 
 def queries() -> dict[str, Query]:
     """All core queries by name."""
-    return {"p5_found": p5_found, "p5_robots_delay": p5_robots_delay, "p5_word_df": p5_word_df}
+    return collections_catalogue.R.queries | web_catalogue.R.queries | {"p5_found": p5_found, "p5_robots_delay": p5_robots_delay, "p5_word_df": p5_word_df}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return dict(P5_SQL)
+    return collections_catalogue.R.sql | web_catalogue.R.sql | P5_SQL

@@ -26,15 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder of the shared folder, gone when the interpreter ends."""
+    path = f"{shared_dir(spark)}/webrank-{uuid.uuid4().hex}"
+    _written[path] = spark
+    return path
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a form that survives the loss of executors; the files go when the interpreter ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/webrank-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
