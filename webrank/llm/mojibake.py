@@ -34,6 +34,8 @@ SINGLE_BYTE = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
 #: A word that one of these explains is no clean training material, whatever the model says of it.
 PLAIN = ("cp1252", "mac_roman", "cp437", "cp1251")
 LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
+#: Latin, Greek and Cyrillic letters, common marks, and the characters of Chinese, Japanese and Korean.
+COMMON = re.compile("[\u00a1-\u017f\u0370-\u03ff\u0400-\u045f\u2010-\u22ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 SPLIT = re.compile("[ \t\r\n]+")
 
 
@@ -71,17 +73,16 @@ for _a in ("cp1252", *SINGLE_BYTE):
             _CROSS[f"{_a}>{_b}"] = {ord(c): _back[b] for c, b in TABLES[_a].items() if b in _back}
 
 
-def from_utf8(word: str, name: str) -> str:
-    """``word`` with every run of characters whose bytes under ``name`` are UTF-8 read as UTF-8."""
-    table = TABLES[name]
+def _decoded(run: str, name: str) -> str:
+    try:
+        return bytes(TABLES[name][c] for c in run).decode("utf-8")
+    except UnicodeDecodeError:
+        return run
 
-    def decoded(m: re.Match) -> str:
-        try:
-            return bytes(table[c] for c in m.group()).decode("utf-8")
-        except UnicodeDecodeError:
-            return m.group()
 
-    return SEQUENCES[name].sub(decoded, word)
+def from_utf8(word: str, name: str) -> str:
+    """``word`` with every run of characters whose bytes under ``name`` are UTF-8 read as UTF-8."""
+    return SEQUENCES[name].sub(lambda m: _decoded(m.group(), name), word)
 
 
 def readings(word: str) -> dict[str, str]:
@@ -110,8 +111,17 @@ def readings(word: str) -> dict[str, str]:
 
 
 def suspicious(word: str) -> bool:
-    """Whether the word is to be kept out of the training data: lost characters, or a plain chain applies."""
-    return bool(LOST.search(word)) or any(from_utf8(word, n) != word for n in PLAIN)
+    """Whether the word is to be kept out of the training data: lost characters, or a plain chain leads to common ones.
+
+    Right words may hold bytes that make UTF-8 by chance, but hardly ever such of a common script.
+    """
+    if LOST.search(word):
+        return True
+    for name in PLAIN:
+        for run in SEQUENCES[name].findall(word):
+            if (other := _decoded(run, name)) != run and COMMON.search(other):
+                return True
+    return False
 
 
 def _grams(word: str) -> Iterator[tuple[int, int, int]]:
