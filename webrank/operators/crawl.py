@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrank.functions import htmltext
+from webrank.operators.ranged import running_counts
 from webrank.plans.session import materialize
 
 DEFAULT_DELAY = 1.0
@@ -68,10 +69,11 @@ def rate_schedule(urls: DataFrame, hosts: DataFrame, order: str, start: Column)
     """``urls(host, ...)`` with ``due``, the earliest time of each fetch: the n-th of a host waits n delays (CRW5, JOI6, DAT1).
 
     ``hosts(host, delay, last_access)``: a host not listed has the default delay; the first fetch waits for ``start`` and for
-    a delay after the last access, whichever is later.
+    a delay after the last access, whichever is later. ``order`` must be unique within a host; a host of any size is spread
+    over range partitions.
     """
-    place = F.row_number().over(Window.partitionBy("host").orderBy(order)) - 1
-    both = urls.withColumn("n", place).join(hosts, "host", "left")
+    counted = running_counts(urls.withColumn("__one", F.lit(1)), ["host"], [order], "__one", "n").drop("__one")
+    both = counted.join(hosts, "host", "left")
     delay = F.coalesce("delay", F.lit(DEFAULT_DELAY))
     first = F.greatest(start, F.coalesce(F.timestamp_seconds(F.unix_micros(F.col("last_access").cast("timestamp")) / 1e6 + delay), start))
     due = F.timestamp_micros((F.unix_micros(first) + F.round(F.col("n") * delay * 1e6)).cast("bigint"))

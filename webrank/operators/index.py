@@ -31,7 +31,10 @@ def idf(counts: DataFrame, n_docs: int | Column) -> DataFrame:
 
 
 def posting_lists(posts: DataFrame, key: str) -> DataFrame:
-    """``(word, postings)``: the compatible text form, most frequent record first, commas between (IDX1, TOP4, TXT7)."""
+    """``(word, postings)``: the compatible text form, most frequent record first, commas between (IDX1, TOP4, TXT7).
+
+    One row per word is what that form is; work on postings themselves needs no such row.
+    """
     entry = F.struct((-F.col("tf")).alias("order"), F.col(key).cast("string").alias("k"), txt.posting_text(F.col(key).cast("string"), F.col("positions")).alias("t"))
     return posts.groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["t"]), ",").alias("postings"))
 
