@@ -213,6 +213,25 @@ def url2_normalised_links(spark, sf):
     return _links(spark, sf)
 
 
+@R.add(f"""WITH {_LINKS} SELECT src, dst FROM links WHERE length(dst) > 13 AND length(dst) < 150 AND NOT contains(dst, '..')
+    AND starts_with(dst, 'http') AND length(dst) - length(replace(dst, 'http', '')) = 4""")
+def htm3_plausible_links(spark, sf):
+    pages = load(spark, sf, "crawl").where("page is not null and url is not null").select("crawl_id", "url", "page").distinct()
+    kept = h.plausible_links(h.links(F.col("page"), F.col("url")))
+    return pages.select(F.col("url").alias("src"), F.explode(kept).alias("dst"))
+
+
+@R.add(f"WITH {_PAGES} SELECT crawl_id, md5({_COLLAPSE.format(x='html')}) AS digest FROM p")
+def htm6_collapse(spark, sf):
+    return _pages(spark, sf).select("crawl_id", F.md5(h.collapse(F.col("html"))).alias("digest"))
+
+
+@R.add("SELECT DISTINCT crawl_id, CAST(length(left(page, 40000)) AS INTEGER) AS cache_length, md5(left(page, 40000)) AS digest FROM crawl WHERE page IS NOT NULL")
+def htm7_truncate(spark, sf):
+    pages = load(spark, sf, "crawl").where("page is not null").select("crawl_id", h.truncate(F.col("page")).alias("page")).distinct()
+    return pages.select("crawl_id", F.length("page").alias("cache_length"), F.md5("page").alias("digest"))
+
+
 @R.add(r"""SELECT DISTINCT url, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/:]*)', 1) AS host,
     nullif(regexp_extract(url, '^[a-z]+://[^/:]*:([0-9]+)', 1), '') AS port, nullif(regexp_extract(url, '^[a-z]+://[^/]*(/.*)?$', 1), '') AS path FROM crawl WHERE url IS NOT NULL""")
 def url1_parse(spark, sf):
@@ -354,6 +373,12 @@ def crw5_rate_schedule(spark, sf):
     return due.select("host", "url", F.unix_micros("due").alias("due_us"))
 
 
+@R.add()
+def crw2_frontier_cap(spark, sf):
+    edges = materialize(_purchases(spark, sf))
+    return crawl.frontier(edges.agg(F.min("src").alias("url")), edges, 5, cap=500, back_pressure=1000)
+
+
 @R.add(f"""WITH RECURSIVE {_GRAPH}, f(url, depth) AS (SELECT min(src), 0 FROM e UNION SELECT e.dst, f.depth + 1 FROM f JOIN e ON e.src = f.url WHERE f.depth < 2)
     SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM f GROUP BY url""")
 def crw1_frontier(spark, sf):
