@@ -100,7 +100,7 @@ def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Characteristic words: the margins of the residuals, then the exact share and rarity."""
     scored = residuals.adjusted_residuals(load(spark, sf, "tf"), "url", "word", "tf")
-    rarity = F.log(F.col("n_records") / F.col("term_records")) / F.log(F.col("n_records").cast("double"))
+    rarity = F.log(F.col("n_records") / F.col("term_records")) / F.nullif(F.log(F.col("n_records").cast("double")), F.lit(0.0))
     return scored.where((F.col("term_records") >= 3) & (F.col("observed") / F.col("record_total") * rarity >= 0.06)).select("url", "word")
 
 
