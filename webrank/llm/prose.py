@@ -25,21 +25,34 @@ VOCABULARY = 3000
 FUNCTION_SHARE = 0.25
 MIN_TEXTS = 20
 TABLE = 1 << 20
+CACHE = 500_000
 HELD_OUT = 8
 MIN_TOKENS = 6
 #: Shares of held-out prose tokens' lines left outside the band at either end.
 TAILS = (0.004, 0.0005)
 PROSE_SHARE = 0.32
 FUNCTION_RATE = 0.2
-TOKEN = re.compile(r"[^ \t\r\n]*[^\x00-\x7f][^ \t\r\n]*|[A-Za-z0-9_]+|[^\w\s]")
-ASCII_TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\w\s]")
+RUN = re.compile("[^ \t\r\n]+")
+TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\w\s]")
 LOWER, CAPITAL, NUMBER, MIXED, FOREIGN, SIGN, START, END = range(8)
 BINS, SCALE = 400, 20.0
 
 
 def tokens(line: str) -> list[str]:
     """Words, numbers and single signs of a line; a run with a character beyond ASCII is one token."""
-    return TOKEN.findall(line) if not line.isascii() else ASCII_TOKEN.findall(line)
+    if line.isascii():
+        return TOKEN.findall(line)
+    out: list[str] = []
+    plain: list[str] = []
+    for run in RUN.findall(line):
+        if run.isascii():
+            plain.append(run)
+        else:
+            if plain:
+                out += TOKEN.findall(" ".join(plain))
+                plain = []
+            out.append(run)
+    return out + TOKEN.findall(" ".join(plain)) if plain else out
 
 
 def _shape(token: str) -> int:
@@ -59,39 +72,48 @@ class ProseModel:
         self.vocabulary = list(vocabulary)
         self.codes = {w: i + 8 for i, w in enumerate(vocabulary)}
         self.tables, self.band = tables, band
+        self.steps: dict[tuple[int, int, int], float] = {}
         self.function = {c for w, c in self.codes.items() if w[0].isalpha()}
         self.signs = {NUMBER, MIXED, SIGN} | {c for w, c in self.codes.items() if not w[0].isalnum()}
         if tables is not None:
             self.one, self.two, self.three = (t.tolist() for t in tables)
             self.total = float(tables[0].sum()) + 1.0
 
+    def code(self, token: str) -> int:
+        """The code of a token, kept for the next time while there is room."""
+        c = self.codes.get(token)
+        if c is None:
+            c = _shape(token)
+            if len(self.codes) < CACHE:
+                self.codes[token] = c
+        return c
+
     def encode(self, line: str) -> list[int]:
-        codes = self.codes
-        out = [START, START]
-        for t in tokens(line):
-            c = codes.get(t)
-            if c is None:
-                c = codes[t] = _shape(t) if len(codes) < 500_000 else -1
-                if c < 0:
-                    del codes[t]
-                    c = _shape(t)
-            out.append(c)
-        out.append(END)
+        """The codes of a line between two starts and an end."""
+        found = tokens(line)
+        out = [START, START, *map(self.codes.get, found), END]
+        if None in out:
+            out = [START, START, *map(self.code, found), END]
+        return out
+
+    def step(self, a: int, b: int, c: int) -> float:
+        """Log-probability of ``c`` after ``a`` and ``b``, kept for the next time while there is room."""
+        ab = (a * 40503 + b * 69621) & 0xFFFFF
+        bc = (b * 40503 + c * 69621) & 0xFFFFF
+        p1 = (self.one[c] + 0.1) / self.total
+        p2 = (self.two[bc] + 5.0 * p1) / (self.one[b] + 5.0)
+        out = log((self.three[(a * 22695477 + b * 1103515 + c * 134775813) & 0xFFFFF] + 5.0 * p2) / (self.two[ab] + 5.0))
+        if len(self.steps) < CACHE:
+            self.steps[a, b, c] = out
         return out
 
     def mean_log(self, seq: list[int]) -> float:
         """Mean log-probability of a line's tokens and its end."""
-        one, two, three, total = self.one, self.two, self.three, self.total
-        out = 0.0
-        a, b = START, START
-        for c in seq[2:]:
-            ab = (a * 40503 + b * 69621) & 0xFFFFF
-            bc = (b * 40503 + c * 69621) & 0xFFFFF
-            p1 = (one[c] + 0.1) / total
-            p2 = (two[bc] + 5.0 * p1) / (one[b] + 5.0)
-            out += log((three[(a * 22695477 + b * 1103515 + c * 134775813) & 0xFFFFF] + 5.0 * p2) / (two[ab] + 5.0))
-            a, b = b, c
-        return out / (len(seq) - 2)
+        grams = list(zip(seq, seq[1:], seq[2:]))
+        found = list(map(self.steps.get, grams))
+        if None in found:
+            found = [self.step(*g) if x is None else x for g, x in zip(grams, found)]
+        return sum(found) / len(found)
 
     def normal(self, seq: list[int], words: int) -> bool:
         """Whether a line reads as prose.
@@ -103,14 +125,14 @@ class ProseModel:
         mean = self.mean_log(seq)
         if low <= mean <= high:
             return True
-        return 2 * low <= mean < low and sum(c in self.function for c in seq) >= FUNCTION_RATE * words
+        return 2 * low <= mean < low and sum(map(self.function.__contains__, seq)) >= FUNCTION_RATE * words
 
     def prose_share(self, lines: list[str]) -> tuple[float, int]:
         """Share of the words that stand in normal lines of ``MIN_TOKENS`` tokens, and the number of words."""
         good = total = 0
         for line in lines:
             seq = self.encode(line)
-            n = sum(c not in self.signs for c in seq) - 3
+            n = len(seq) - 3 - sum(map(self.signs.__contains__, seq))
             total += n
             if len(seq) - 3 >= MIN_TOKENS and self.normal(seq, n):
                 good += n
