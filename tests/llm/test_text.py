@@ -1,6 +1,8 @@
 """Wrong encodings, main text, keyword pages and token sizes."""
 
 import os
+from itertools import product
+from zlib import crc32
 
 import pytest
 from conftest import SF, rows
@@ -108,6 +110,20 @@ def test_pages_without_html_or_rows(spark):
     assert pages.main_lines(crawl.where("false"), raw.where("false"), docs.where("false")).count() == 0
 
 
+def test_line_model_keeps_names_apart(spark):
+    words = ["".join(x) for x in product("abcdefghij", repeat=5)]
+    names = {}
+    for w in words:
+        names.setdefault(crc32(f"w{w}".encode()) % (1 << 16), []).append(w)
+    a, b = next(x for x in names.values() if len(x) > 1)[:2]
+    assert len({styletree.slot("w" + w) for w in words}) == 100_000
+    lines = spark.createDataFrame([(k, styletree.features(x)) for k, x in ((styletree.FURNITURE, a), (styletree.BODY, b)) for _ in range(50)], "label int, slots array<int>")
+    model = styletree.line_model(lines)
+    of_a, of_b = model.part("w" + a), model.part("w" + b)
+    assert of_a[styletree.FURNITURE] > 0 > of_a[styletree.BODY] and of_b[styletree.BODY] > 0 > of_b[styletree.FURNITURE]
+    assert model.part("wnever") == (0.0, 0.0, 0.0, 0.0)
+
+
 def test_prose_model_tells_sentences_from_keywords(spark):
     _, _, docs = corpus(spark)
     model = prose.train(docs, "text", "lang")

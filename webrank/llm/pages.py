@@ -46,7 +46,7 @@ def read_pages(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame, t
     lines = styletree.line_model(labelled)
     model = prose.train(prose_texts, "text", "lang" if "lang" in prose_texts.columns else None)
     like, vocabulary, tables, band = lines.like, model.vocabulary, model.tables, model.band
-    fallback = not any(any(x) for x in like)
+    fallback = not like[1].any()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = styletree.LineModel.from_likelihoods(like)
