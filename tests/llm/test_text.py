@@ -44,6 +44,16 @@ def test_single_byte_sets_twice_garbled_and_lost(spark, model):
     assert "музей" in found[1].restored and "музей" in found[2].restored and found[4].n_lost == 1 and found[4].restored == "caf� ouvert"
 
 
+@pytest.mark.parametrize(("read_as", "written"), [("cp1252", "cp1251"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r")])
+def test_chain_of_a_record_reaches_its_short_and_glued_words(spark, model, read_as, written):
+    text = f'{RUSSIAN}\n<a href="/a/long/path/to/it">музей</a> и лето\nи'
+    df = spark.createDataFrame([(1, text.encode(written).decode(read_as)), (2, text)], "id int, text string")
+    found = mojibake.find_garbled(df, ["id"], "text", model, restore=True).collect()
+    assert [(r.id, r.restored) for r in found] == [(1, text)]
+    glued = text.split()[12].encode(written).decode(read_as)
+    assert "музей" in model.judge(glued)[0]
+
+
 def test_garbled_search_on_empty_and_long_texts(spark, model):
     df = spark.createDataFrame([(1, ENGLISH * 5000 + " thÃ©Ã¢tre")], "id int, text string")
     assert rows(mojibake.find_garbled(df, ["id"], "text", model), "id", "n_words") == [(1, 1)]

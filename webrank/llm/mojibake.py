@@ -3,7 +3,8 @@
 A character trigram model is trained on clean records. Every word with a character beyond ASCII is tried under all chains
 of encoding with one character set and decoding with another; chains that end in UTF-8 may act on a part of the word and
 up to three times in a row. The likeliest reading is accepted if its log-likelihood beats the stored one by the margin of
-its kind of chain, which is taken from clean records held out of the training. Replacement characters and control codes that
+its kind of chain, which is taken from clean records held out of the training. Once a single-byte chain is accepted for a word
+of a record, all other words of the record are tried under it, however short they are. Replacement characters and control codes that
 only a wrong decoding leaves behind mark a word that can't be restored in full.
 
 Counts cover all clean records; they are kept in a table of ``TABLE`` slots, so the model has a fixed size.
@@ -37,6 +38,8 @@ LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
 #: Latin, Greek and Cyrillic letters, common marks, and the characters of Chinese, Japanese and Korean.
 COMMON = re.compile("[\u00a1-\u017f\u0370-\u03ff\u0400-\u045f\u2010-\u22ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
 SPLIT = re.compile("[ \t\r\n]+")
+#: Whole tags, the end of one before a word and the beginning of one after it.
+TAGS = re.compile(r"^[^<>]*>|<[^<>]*(?:>|$)")
 
 
 def _table(name: str) -> dict[str, int]:
@@ -100,16 +103,25 @@ def readings(word: str) -> dict[str, str]:
         level = nxt
         if not level:
             break
-    beyond = sum(c > "\x7f" for c in word)
-    if beyond >= MIN_SINGLE_BYTE and 2 * beyond >= len(word):
-        for kind, table in _CROSS.items():
-            if all(ord(c) in table for c in word if c > "\x7f"):
-                other = word.translate(table)
-                if other != word:
-                    found.setdefault(other, kind)
+    core = TAGS.sub("", word) if "<" in word or ">" in word else word
+    beyond = sum(c > "\x7f" for c in core)
+    if beyond >= MIN_SINGLE_BYTE and 2 * beyond >= len(core):
+        for kind in _CROSS:
+            if (other := crossed(word, kind)) is not None:
+                found.setdefault(other, kind)
     return found
 
 
+def crossed(word: str, kind: str) -> str | None:
+    """``word`` under the single-byte chain ``kind``; None if it can't have come from it or is left as it is."""
+    table = _CROSS[kind]
+    if all(ord(c) in table for c in word if c > "\x7f"):
+        other = word.translate(table)
+        if other != word:
+            return other
+    return None
+
+
 def suspicious(word: str) -> bool:
     """Whether the word is to be kept out of the training data: lost characters, or a plain chain leads to common ones.
 
@@ -187,6 +199,36 @@ class CharModel:
         return got
 
 
+    def judge_record(self, text: str | None) -> list[tuple[int, str, str, str]]:
+        """``(line, word, reading, kind)`` of every word of ``text`` that is garbled.
+
+        Single-byte chains accepted for words of the record are then tried on all its other words. In lines where the chain was
+        accepted the likelier reading is taken, in other lines it has to beat the chain's margin.
+        """
+        if not text or text.isascii():
+            return []
+        out, rest, chains = [], [], {}
+        for number, line in enumerate(text.split("\n")):
+            for w in _words(line):
+                other, kind = self.judge(w)
+                if kind in _CROSS:
+                    chains.setdefault(kind, Counter())[number] += 1
+                if kind and kind != "lost":
+                    out.append((number, w, other, kind))
+                else:
+                    rest.append((number, w, kind))
+        for number, w, lost in rest:
+            top = (0.0, w, lost)
+            for kind, lines in chains.items():
+                if (other := crossed(w, kind)) is not None:
+                    gain = self.gain(w, other, kind) - (0.0 if number in lines else self.margins.get(kind, 0.0))
+                    if gain > top[0]:
+                        top = (gain, other, kind)
+            if top[2]:
+                out.append((number, w, *top[1:]))
+        return out
+
+
 def _words(text: str | None) -> Iterator[str]:
     if text and not text.isascii():
         for line in text.split("\n"):
@@ -292,25 +334,21 @@ def find_garbled(df: DataFrame, keep: list[str], text: str, model: CharModel, re
     slim = df.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = CharModel(tables, margins).judge
+        judge = CharModel(tables, margins).judge_record
         for batch in batches:
             rows, garbled, lost, fixed = [], [], [], []
             for i, value in enumerate(batch.column("__text").to_pylist()):
-                n = m = 0
-                change: dict[str, str] = {}
-                for w in _words(value):
-                    other, kind = judge(w)
-                    if kind:
-                        n += 1
-                        m += bool(LOST.search(other))
-                        if kind != "lost":
-                            change[w] = other
-                if n:
+                found = judge(value)
+                if found:
                     rows.append(i)
-                    garbled.append(n)
-                    lost.append(m)
+                    garbled.append(len(found))
+                    lost.append(sum(bool(LOST.search(other)) for _, _, other, _ in found))
                     if restore:
-                        fixed.append(re.sub("[^ \t\r\n]+", lambda x, c=change: c.get(x.group(), x.group()), value) if change else value)
+                        change = {(number, w): other for number, w, other, kind in found if kind != "lost"}
+                        lines = value.split("\n")
+                        for number in {k for k, _ in change}:
+                            lines[number] = re.sub("[^ \t\r\n]+", lambda x, k=number: change.get((k, x.group()), x.group()), lines[number])
+                        fixed.append("\n".join(lines))
             out = batch.select(keep).take(pa.array(rows, pa.int64()))
             out = out.append_column("n_words", pa.array(garbled, pa.int64())).append_column("n_lost", pa.array(lost, pa.int64()))
             yield out.append_column("restored", pa.array(fixed, pa.string())) if restore else out
