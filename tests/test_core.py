@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -246,3 +248,17 @@ def test_frontier_cap_and_back_pressure(spark):
     assert {r.url: r.depth for r in crawl.frontier(seeds, edges, 5).collect()} == {0: 0, **{i: 1 for i in range(1, 6)}, **{i + 10: 2 for i in range(1, 6)}}
     assert crawl.frontier(seeds, edges, 5, cap=3).count() == 6
     assert crawl.frontier(seeds, edges, 5, back_pressure=4).count() == 6
+
+
+def test_whole_index_takes_documents_of_every_language(spark, tmp_path):
+    from webrank.plans import catalogue
+
+    docs = [(1, "The <b>old</b> Museum, the OLD", "en"), (2, "Été à l'Île\nété", "fr"), (3, "Музей. музей!", None), (4, "Tea (hot)", "EN"), (5, "tea-pot", "en-GB"), (6, None, "fr"), (7, "", "de")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, text, _ in docs:
+        for line in (text or "").split("\n"):
+            line = re.sub("<.*?>", " ", line).lower()
+            want |= {(i, w) for w in re.sub("[.,:;!?'\"()-]+", " ", line).split()}
+    got = rows(catalogue.queries()["idx2_whole_index"](spark, str(tmp_path)))
+    assert got == sorted(want, key=repr) and {i for i, _ in got} == {1, 2, 3, 4, 5}

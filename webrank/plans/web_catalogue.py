@@ -60,6 +60,13 @@ def idx2_simple_index(spark, sf):
     return index.simple_index(load(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text").select("doc_id", "word")
 
 
+@R.add(r"""
+    SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(text, '<.*?>', ' ', 'g')),
+      '[\r\n\t]+', ' ', 'g'), '[.,:;!?''"()-]+', ' ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL""")
+def idx2_whole_index(spark, sf):
+    return index.simple_index(load(spark, sf, "documents"), "doc_id", "text").select("doc_id", "word")
+
+
 @R.add(f"""
     SELECT word, count(DISTINCT doc_id) AS df, round(ln((SELECT count(*) FROM documents) / CAST(count(DISTINCT doc_id) AS DOUBLE)), 6) AS idf
     FROM ({TOKENS_SQL}) GROUP BY word""")
