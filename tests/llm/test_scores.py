@@ -127,3 +127,19 @@ def test_mix_respects_caps_and_reports_shares(spark):
     assert rows(again) == rows(choice)
     nothing, none = mixing.mix_sources(docs.where("false"), targets)
     assert nothing.count() == 0 and none.count() == 3
+
+
+def test_containers_of_one_name_and_too_many(spark, tmp_path):
+    from webrank.llm import catalogue
+
+    def write(n):
+        spark.createDataFrame([("a", 64), ("a", 256), *((f"c{i}", 8) for i in range(n - 2))], "container string, capacity long").write.mode("overwrite").parquet(str(tmp_path / "containers.parquet"))
+        return str(tmp_path)
+
+    assert catalogue._containers(spark, write(3)) == [("a", 64), ("a", 256), ("c0", 8)]
+    sizes = spark.createDataFrame([(i, 30) for i in range(20)], "doc long, n long")
+    out = packing.pack_containers(sizes, "doc", "n", [("a", 64), ("a", 256)]).collect()
+    assert {(r.container, r.capacity) for r in out} == {("a", 64), ("a", 256)} and len(out) == 40
+    assert len(catalogue._containers(spark, write(1000))) == 1000
+    with pytest.raises(ValueError):
+        catalogue._containers(spark, write(1001))

@@ -76,6 +76,7 @@ def p3_restored(spark: SparkSession, sf: str) -> DataFrame:
 
 SCORES = {"tf": 1.0, "rank": 1.0, "inlinks": 1.0, "visits": 1.0}
 SPAN = 200
+MAX_CONTAINERS = 1000
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,9 +111,12 @@ def p7_residuals(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("url", "word", "observed", F.round("residual", 5).alias("residual"))
 
 
-def _containers(spark: SparkSession, sf: str) -> dict[str, int]:
-    rows = load(spark, sf, "containers").where("container is not null and capacity > 0").distinct().limit(1000).collect()
-    return {r.container: r.capacity for r in rows}
+def _containers(spark: SparkSession, sf: str) -> list[tuple[str, int]]:
+    named = load(spark, sf, "containers").where("container is not null and capacity > 0").select("container", "capacity").distinct()
+    rows = named.limit(MAX_CONTAINERS + 1).collect()
+    if len(rows) > MAX_CONTAINERS:
+        raise ValueError(f"more than {MAX_CONTAINERS} containers")
+    return sorted((r.container, r.capacity) for r in rows)
 
 
 def p8_packing(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,17 +73,18 @@ def pack(items: list[tuple[int, int, int, int]], capacity: int) -> list[tuple[in
     return out + [(0, *item) for item in empty]
 
 
-def pack_containers(sizes: DataFrame, id_col: str, size_col: str, capacities: dict[str, int], block_items: int = BLOCK_ITEMS) -> DataFrame:
+def pack_containers(sizes: DataFrame, id_col: str, size_col: str, capacities: dict[str, int] | list[tuple[str, int]], block_items: int = BLOCK_ITEMS) -> DataFrame:
     """``(container, capacity, bin, <id>, piece, start_token, n_tokens)``: the contents of every container of each capacity.
 
-    An item longer than the capacity is cut into pieces of the capacity, each filling a container of its own, and a rest
+    A name may be given with several capacities. An item longer than the capacity is cut into pieces of the capacity, each filling a container of its own, and a rest
     that is packed like an item; no other item is split. Items of size 0 lie in the first container of their block; rows
     with a null id or size, and repeats of an id, are left out. Bins are named by block and number.
     """
-    if min(capacities.values(), default=1) < 1:
+    named = list(capacities.items() if isinstance(capacities, dict) else capacities)
+    if min((c for _, c in named), default=1) < 1:
         raise ValueError("capacities must be positive")
     rows = sizes.where(F.col(id_col).isNotNull() & (F.col(size_col) >= 0)).groupBy(F.col(id_col).cast("bigint").alias("id")).agg(F.max(size_col).cast("bigint").alias("n"))
-    kinds = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(int(c)).cast("bigint").alias("capacity")) for k, c in capacities.items()])
+    kinds = F.array(*[F.struct(F.lit(k).alias("container"), F.lit(int(c)).cast("bigint").alias("capacity")) for k, c in named])
     spread = rows.select("id", "n", F.explode(kinds).alias("c")).select("id", "n", "c.*")
     blocks = max(1, round(sizes.count() / block_items))
     whole = F.floor(F.col("n") / F.col("capacity")).cast("int")
@@ -109,5 +110,5 @@ def pack_containers(sizes: DataFrame, id_col: str, size_col: str, capacities: di
         return out.assign(container=name, capacity=capacity)[["container", "capacity", "bin", "id", "piece", "start", "size"]]
 
     schema = "container string, capacity bigint, bin string, id bigint, piece int, start bigint, size bigint"
-    rest = items.groupBy("container", "block").applyInPandas(run, schema)
+    rest = items.groupBy("container", "capacity", "block").applyInPandas(run, schema)
     return rest.unionByName(full).select("container", "capacity", "bin", F.col("id").alias(id_col), "piece", F.col("start").alias("start_token"), F.col("size").alias("n_tokens"))
