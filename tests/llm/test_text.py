@@ -1,14 +1,14 @@
 """Wrong encodings, main text, keyword pages and token sizes."""
 
 import os
-from itertools import product
-from zlib import crc32
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, rows
 from pyspark.sql import functions as F
 
-from webrank.llm import mojibake, pages, prose, styletree, tokens
+from webrank.llm import linecodes, mojibake, pages, prose, styletree, tokens
 
 FRENCH = "Le théâtre de la forêt fut créé après l’été — où les élèves ont été mesurés à côté du château"
 RUSSIAN = "Сегодня старый музей снова открыт и письма ведут туда каждое лето"
@@ -62,12 +62,72 @@ def test_garbled_search_on_empty_and_long_texts(spark, model):
     assert mojibake.find_garbled(df, ["id"], "text", empty).count() in (0, 1)
 
 
-def test_dom_lines():
-    page = "<html>\n<head><title>t</title></head>\n<body>\n<div id=w>\n<nav>\n<a href='/a'>A</a>\n</nav>\n<div class='m'>\n<h1>Head &amp; more</h1>\n<p>text\n<br>\n<script>var x = '<div>';\n</script>\nlast</p>\n</div>\n</div>\n</body>"
-    lines = styletree.dom_lines(page)
-    assert [(n, t.replace(styletree.MARK, "").strip()) for n, _, _, _, t in lines] == [(5, "A"), (8, "Head & more"), (9, "text"), (13, "last")]
-    assert len({b for _, b, _, _, _ in lines}) == 2 and lines[1][3] and not lines[2][3]
-    assert styletree.dom_lines("") == [] and styletree.dom_lines("<body>\n<p>x</p>")[0][4] == "x"
+def test_dom_tree():
+    page = "<html>\n<head><title>t</title></head>\n<body><p>start\n<div id=w>\n<nav>\n<a href='/a'>A</a>\n</nav>\n<div class='m'>\n<h1>Head &amp; more</h1>\n<p>text\n<br>\n<script>var x = '<div>';\n</script> after\nlast</p>\n</div>\n</div>\n</body>"
+    nodes, lines = styletree.dom_tree(page)
+    assert [(n, t.replace(linecodes.MARK, "").strip()) for n, _, _, t in lines] == [(2, "start"), (5, "A"), (8, "Head & more"), (9, "text"), (12, "after"), (13, "last")]
+    assert [s for _, s in nodes] == ["", "div id=w", "nav", "div class='m'"] and [p for p, _ in nodes] == [-1, 0, 1, 1]
+    assert [n for _, n, _, _ in lines] == [0, 2, 3, 3, 3, 3] and lines[2][2] and not lines[3][2]
+    assert styletree.dom_tree("") == ([(-1, "")], []) and styletree.dom_tree("<body>\n<p>x</p>")[1][0][3] == "x"
+
+
+def test_branches_are_cut_at_every_depth():
+    #         root  wrap  main  teaser  list  aside
+    parent = [-1, 0, 1, 2, 2, 1]
+    gain = [1000.0, 1000.0, 900.0, 40.0, 260.0, 100.0]
+    weight = [1.0, 0.9, 0.9, 0.2, 0.8, 0.9]
+    assert styletree.kept_nodes(parent, gain, weight) == {2, 4}
+    assert styletree.kept_nodes([-1, 0, 0, 0], [100.0, 50.0, 45.0, 5.0], [1.0, 0.9, 0.9, 0.9]) == {1, 2}
+    assert styletree.kept_nodes([-1], [0.0], [1.0]) == {0}
+
+
+def test_nested_furniture_is_removed_and_importance_is_entropy(spark):
+    words = "harbour museum library castle meadow railway garden bridge tower canal".split()
+    pages = []
+    for i in range(40):
+        body = [f"<p>The {words[i % 10]} of number {chr(97 + i % 26)}{chr(97 + i // 26)} stands near the old {words[i * 7 % 10]} and the {words[i * 3 % 10]} {i % 26 * 'x'}</p>" for _ in range(1 + i % 3)]
+        teaser = ["<div class='ad'>", "Read our letter every week", "Follow the garden club", "</div>"]
+        page = ["<body>", "<div class='all'>", "<div class='menu'>", "Home", "News", "</div>", "<div class='text'>", "<h1>Story " + chr(97 + i % 26) * (1 + i // 26) + "</h1>", *body[:1], *teaser, *body[1:], "</div>", "</div>", "<div class='foot'>", "Terms of use", "</div>", "</body>"]
+        pages.append((i, "h.example", "\n".join(page)))
+    df = spark.createDataFrame(pages, "id long, host string, html string")
+    for r in styletree.style_trees(df).collect():
+        kept = [t for t, m in zip(r.texts, r.main) if m]
+        assert kept and kept[0].startswith("Story") and all(t.startswith(("Story", "The ")) for t in kept)
+        assert len(kept) == 2 + r.id % 3
+    empty = styletree.style_trees(df.where("false"))
+    assert empty.count() == 0 and not len(styletree.line_model(empty).keys)
+
+
+def test_lines_words_tokens_equal_plain_python():
+    texts = ["The 12 cats, 3 dogs\n\n \x01 Menu é漢 #tag a_1b — x\r", "", "one\ttwo\u00a0three 1990s"]
+    lines = linecodes.Lines(texts)
+    flat = [x for t in texts for x in t.split("\n")]
+    assert lines.n_words.tolist() == [len(x.split()) for x in flat] and lines.page.tolist() == [0, 0, 0, 1, 2]
+    assert lines.filled.tolist() == [True, False, True, False, True]
+    line, code = lines.tokens(linecodes.Vocabulary(["the", "The", ","]))
+    got = {i: code[line == i].tolist() for i in range(5)}
+    L, C, N, M, F_, S = range(6)
+    assert got == {0: [9, N, L, 10, N, L], 1: [], 2: [S, C, F_, S, L, M, S, L], 3: [], 4: [L, L, L, M]}
+    of, seq = linecodes.sequences(line, code, np.array([True, True, False, True, True]))
+    assert seq.tolist() == [6, 6, 9, N, L, 10, N, L, 7, 6, 6, L, L, L, M, 7] and of.tolist() == [0] * 9 + [4] * 7
+
+
+def test_every_word_of_a_long_line_counts():
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(20) for j in range(20)]
+    a, b = " ".join(words), " ".join([*words[:200], "other", *words[201:]])
+    names = [set(linecodes.Lines([x]).names()[1].tolist()) for x in (a, b)]
+    assert len(names[0] - names[1]) == 3 and len(names[1] - names[0]) == 3  # the word and its two pairs
+    assert len(names[0]) >= 400 + 399
+
+
+def test_table_finds_all_keys_and_no_others():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))
+    table = linecodes.Table(keys, np.arange(len(keys), dtype=float)[:, None] + 1)
+    found = table.sums(np.arange(len(keys)), keys, len(keys))[:, 0]
+    assert found.tolist() == [float(i + 1) for i in range(len(keys))]
+    assert not table.sums(np.zeros(5000, int), rng.integers(2**63, 2**64 - 1, 5000, dtype=np.uint64), 1).any()
+    assert not linecodes.Table(np.zeros(0, np.uint64), np.zeros((0, 4))).sums(np.zeros(3, int), keys[:3], 1).any()
 
 
 def corpus(spark):
@@ -120,27 +180,46 @@ def test_pages_without_html_or_rows(spark):
     assert pages.main_lines(crawl.where("false"), raw.where("false"), docs.where("false")).count() == 0
 
 
-def test_line_model_keeps_names_apart(spark):
-    words = ["".join(x) for x in product("abcdefghij", repeat=5)]
-    names = {}
-    for w in words:
-        names.setdefault(crc32(f"w{w}".encode()) % (1 << 16), []).append(w)
-    a, b = next(x for x in names.values() if len(x) > 1)[:2]
-    assert len({styletree.slot("w" + w) for w in words}) == 100_000
-    lines = spark.createDataFrame([(k, styletree.features(x)) for k, x in ((styletree.FURNITURE, a), (styletree.BODY, b)) for _ in range(50)], "label int, slots array<int>")
-    model = styletree.line_model(lines)
-    of_a, of_b = model.part("w" + a), model.part("w" + b)
-    assert of_a[styletree.FURNITURE] > 0 > of_a[styletree.BODY] and of_b[styletree.BODY] > 0 > of_b[styletree.FURNITURE]
-    assert model.part("wnever") == (0.0, 0.0, 0.0, 0.0)
+def test_line_model_counts_all_names_and_bounds_their_number(spark):
+    rows = [(["Menu", "The old castle of the town"], [styletree.FURNITURE, styletree.BODY])] * 40 + [(["Menu"], [styletree.OPEN]), ([], [])]
+    labelled = spark.createDataFrame(rows, "texts array<string>, label array<int>")
+    model = styletree.line_model(labelled)
+    scores = model.scores(linecodes.Lines(["Menu\nThe old castle of the town"]))
+    assert scores[0].argmax() == styletree.FURNITURE and scores[1].argmax() == styletree.BODY
+    assert len(styletree.line_model(labelled, max_names=10).keys) <= 10 < len(model.keys)
+    assert model.kinds(scores.tolist())[1] == styletree.BODY
 
 
 def test_prose_model_tells_sentences_from_keywords(spark):
     _, _, docs = corpus(spark)
     model = prose.train(docs, "text", "lang")
-    good, n = model.prose_share(["The old bridge near the castle was rebuilt in 1850 after the garden had been closed by the library."])
-    assert good == 1 and n == 18
-    assert model.prose_share(["cheap xanbu sale xanbu order zorbi cheap zorbi online xanbu sale"])[0] == 0
-    assert model.prose_share([]) == (1.0, 0)
+    good = "The old bridge near the castle was rebuilt in 1850 after the garden had been closed by the library."
+    bad = "cheap xanbu sale xanbu order zorbi cheap zorbi online xanbu sale"
+    shares, sizes = model.shares([good, bad, ""])
+    assert shares.tolist() == [1.0, 0.0, 1.0] and sizes.tolist() == [18, 11, 0]
+    assert prose.language("en-GB") == prose.language("EN") == "en" and prose.language(None) == ""
+
+
+def test_second_step_learns_the_lists_of_honest_pages(spark):
+    _, _, docs = corpus(spark)
+    model = prose.train(docs, "text", "lang")
+    sentence = "The old {} near the castle was rebuilt in 1850 after the garden had been closed by the library."
+    score = "Town 6 - Other 9 ( 865 , wooden table )"
+    bodies = ["\n".join([sentence.format(w)] * 3 + [score] * (i % 9)) for i, w in enumerate(["bridge", "museum", "harbour", "meadow"] * 50)]
+    bodies += ["\n".join(["cheap xanbu sale xanbu order zorbi cheap zorbi online xanbu sale"] * 5)] * 10
+
+    def encoded(text):
+        lines = linecodes.Lines([text])
+        line, codes = linecodes.sequences(*lines.tokens(model.vocabulary), np.ones(lines.n_lines, bool))
+        share, size = model.prose(line, codes, lines.page, 1)
+        return bytes(codes.tobytes()), float(share[0]), int(size[0])
+
+    df = spark.createDataFrame([encoded(x) for x in bodies], "codes binary, prose_share double, n_tokens long")
+    second = prose.second_step(model, df)
+    owner, codes = prose.joined(pa.array([r.codes for r in df.collect()], pa.binary()))
+    odd = second.abnormal(second.means(owner, codes, len(bodies)))
+    assert odd[200:].all() and not odd[:200].any()
+    assert prose.second_step(model, df.where("false")).pages == (prose.FAR * model.band[0], model.band[1])
 
 
 @pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_RANKS), reason="no tokenizer file")

@@ -34,9 +34,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of prose and number of tokens in the body of each page."""
+    """Share of prose, perplexity and number of tokens of the body of each page."""
     read = pages.read_pages(load(spark, sf, "crawl"), load(spark, sf, "raw_pages"), load(spark, sf, "documents"))
-    return read.pages.select("crawl_id", F.round("prose_share", 6).alias("prose_share"), "n_tokens")
+    return read.pages.select("crawl_id", F.round("prose_share", 6).alias("prose_share"), F.round("perplexity", 4).alias("perplexity"), "n_tokens")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

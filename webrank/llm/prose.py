@@ -1,10 +1,11 @@
 """Telling prose from keyword lists, link lists and tags by perplexity over function words and word classes.
 
-Frequent words stand for themselves, all other tokens for their class (lower case, capitalised, number,
-mixed, with letters beyond ASCII, so that wrongly decoded words are no different from right ones). A trigram
-model of these, trained on prose, gives each line a mean log-probability; the band in which held-out prose lies is what a
-line of sentences stays in, and lines above or below it are abnormal: repeated phrases as well as chains of nouns. A page
-whose body has too small a share of its tokens in normal lines is flagged.
+Frequent words stand for themselves, all other tokens for their class (lower case, capitalised, number, mixed, with letters
+beyond ASCII, so that wrongly decoded words are no different from right ones). A trigram model of these, trained on
+prose, gives each token a log-probability. Prose of one collection lacks the forms of lists that another holds, so the model is trained in two
+steps: first on the given prose, by which pages are read as mainly prose if most of their words stand in lines that
+read as sentences; then on the prose and the bodies of those pages. The flag is the perplexity of a page's whole body under
+the second model, abnormally high or low against the pages it was trained on.
 """
 
 from __future__ import annotations
@@ -12,30 +13,34 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log
-from zlib import crc32
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-VOCABULARY = 3000
-#: A word is a function word of a language if it occurs in this share of the language's texts.
+from webrank.llm.linecodes import END, MIXED, NUMBER, SIGN, START, Lines, Vocabulary, plain, sequences, slices
+
+#: A word is a function word of a language if it occurs in this share of the language's texts, and in this many at least.
 FUNCTION_SHARE = 0.25
-MIN_TEXTS = 20
+FUNCTION_TEXTS = 5
 TABLE = 1 << 20
-CACHE = 500_000
 HELD_OUT = 8
 MIN_TOKENS = 6
 #: Shares of held-out prose tokens' lines left outside the band at either end.
 TAILS = (0.004, 0.0005)
-PROSE_SHARE = 0.32
-FUNCTION_RATE = 0.2
+#: The ends of the band of lines are moved out by this much, for the few held-out lines of a small collection.
+LINE_ROOM = 0.05
+#: A line of a term or link and then a sentence: far below the band, but with this share of function words.
+FAR, FUNCTION_RATE = 3.0, 0.25
+#: Least share of words in such lines of the pages that the second step is trained on.
+TRAINING_SHARE = 0.38
+#: Share of the training pages that may lie beyond either end of the band of pages, and how far the ends are moved out.
+PAGE_TAIL, PAGE_ROOM = 0.001, 0.15
 RUN = re.compile("[^ \t\r\n]+")
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\w\s]")
-LOWER, CAPITAL, NUMBER, MIXED, FOREIGN, SIGN, START, END = range(8)
-BINS, SCALE = 400, 20.0
+BINS, SCALE = 1200, 50.0
 
 
 def tokens(line: str) -> list[str]:
@@ -43,177 +48,235 @@ def tokens(line: str) -> list[str]:
     if line.isascii():
         return TOKEN.findall(line)
     out: list[str] = []
-    plain: list[str] = []
     for run in RUN.findall(line):
-        if run.isascii():
-            plain.append(run)
-        else:
-            if plain:
-                out += TOKEN.findall(" ".join(plain))
-                plain = []
-            out.append(run)
-    return out + TOKEN.findall(" ".join(plain)) if plain else out
-
-
-def _shape(token: str) -> int:
-    if not token.isascii():
-        return FOREIGN if any(map(str.isalnum, token)) or "\ufffd" in token else SIGN
-    if token.isdigit():
-        return NUMBER
-    if token.isalpha():
-        return CAPITAL if token[0].isupper() else LOWER
-    return MIXED if token[0].isalnum() or token[0] == "_" else SIGN
+        out += TOKEN.findall(run) if run.isascii() else [run]
+    return out
+
+
+def _slots(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots of (a, b), (b, c) and (a, b, c)."""
+    mask = TABLE - 1
+    return (a * 40503 + b * 69621) & mask, (b * 40503 + c * 69621) & mask, (a * 22695477 + b * 1103515 + c * 134775813) & mask
+
+
+def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b, c, place)`` of the trigrams inside the lines of a sequence, ``place`` that of ``c``."""
+    codes = codes.astype(np.int64)
+    a, b, c = codes[:-2], codes[1:-1], codes[2:]
+    inside = np.flatnonzero((c != START) & (b != END) & (a != END))
+    return a[inside], b[inside], c[inside], inside + 2
+
+
+class Counts:
+    """Counts of tokens, of pairs and of triples in hashed tables of ``TABLE`` entries, for one partition or for all."""
+
+    def __init__(self, tables: np.ndarray | None = None):
+        self.tables = np.zeros((3, TABLE), np.int64) if tables is None else tables
+
+    def add(self, codes: np.ndarray) -> None:
+        if len(codes) < 3:
+            return
+        a, b, c, _ = _grams(codes)
+        lines = int((codes == END).sum())
+        _, bc, abc = _slots(a, b, c)
+        start = np.array([START], np.int64)
+        for table, where in zip(self.tables, (c, bc, abc)):
+            table += np.bincount(where, minlength=TABLE)
+        self.tables[0, START] += lines
+        self.tables[1, _slots(start, start, start)[0]] += lines
+
+    def batch(self) -> pa.RecordBatch:
+        flat = self.tables.reshape(-1)
+        used = np.flatnonzero(flat)
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.array(flat[used])], names=["slot", "n"])
 
+    @classmethod
+    def collected(cls, df: DataFrame) -> Counts:
+        """The sum of all batches: at most three tables of slots come to the driver, whatever the input."""
+        rows = df.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        tables = np.zeros(3 * TABLE, np.int64)
+        tables[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+        return cls(tables.reshape(3, TABLE))
 
+
+@dataclass
 class ProseModel:
-    """Interpolated trigrams over class codes, from hashed count tables, and the band of normal prose."""
-
-    def __init__(self, vocabulary: list[str], tables: np.ndarray | None = None, band: tuple[float, float] = (-1e9, 1e9)):
-        self.vocabulary = list(vocabulary)
-        self.codes = {w: i + 8 for i, w in enumerate(vocabulary)}
-        self.tables, self.band = tables, band
-        self.steps: dict[tuple[int, int, int], float] = {}
-        self.function = {c for w, c in self.codes.items() if w[0].isalpha()}
-        self.signs = {NUMBER, MIXED, SIGN} | {c for w, c in self.codes.items() if not w[0].isalnum()}
-        if tables is not None:
-            self.one, self.two, self.three = (t.tolist() for t in tables)
-            self.total = float(tables[0].sum()) + 1.0
-
-    def code(self, token: str) -> int:
-        """The code of a token, kept for the next time while there is room."""
-        c = self.codes.get(token)
-        if c is None:
-            c = _shape(token)
-            if len(self.codes) < CACHE:
-                self.codes[token] = c
-        return c
-
-    def encode(self, line: str) -> list[int]:
-        """The codes of a line between two starts and an end."""
-        found = tokens(line)
-        out = [START, START, *map(self.codes.get, found), END]
-        if None in out:
-            out = [START, START, *map(self.code, found), END]
-        return out
-
-    def step(self, a: int, b: int, c: int) -> float:
-        """Log-probability of ``c`` after ``a`` and ``b``, kept for the next time while there is room."""
-        ab = (a * 40503 + b * 69621) & 0xFFFFF
-        bc = (b * 40503 + c * 69621) & 0xFFFFF
-        p1 = (self.one[c] + 0.1) / self.total
-        p2 = (self.two[bc] + 5.0 * p1) / (self.one[b] + 5.0)
-        out = log((self.three[(a * 22695477 + b * 1103515 + c * 134775813) & 0xFFFFF] + 5.0 * p2) / (self.two[ab] + 5.0))
-        if len(self.steps) < CACHE:
-            self.steps[a, b, c] = out
-        return out
-
-    def mean_log(self, seq: list[int]) -> float:
-        """Mean log-probability of a line's tokens and its end."""
-        grams = list(zip(seq, seq[1:], seq[2:]))
-        found = list(map(self.steps.get, grams))
-        if None in found:
-            found = [self.step(*g) if x is None else x for g, x in zip(grams, found)]
-        return sum(found) / len(found)
-
-    def normal(self, seq: list[int], words: int) -> bool:
-        """Whether a line reads as prose.
-
-        It does if its mean log-probability is inside the band, or above twice the lower end where function words make up
-        ``FUNCTION_RATE`` of its words: a term or link set before a sentence is unlikely, but its sentence is none the less.
+    """Interpolated trigrams over class codes, the band of lines of prose and the band of pages."""
+
+    words: list[str]
+    tables: np.ndarray
+    band: tuple[float, float] = (-1e9, 1e9)
+    pages: tuple[float, float] = (-1e9, 1e9)
+
+    def __post_init__(self) -> None:
+        self.vocabulary = Vocabulary(self.words)
+        n = len(self.words) + 8
+        self.function, self.sign = np.zeros(n, bool), np.zeros(n, bool)
+        self.function[8:] = [w[0].isalpha() for w in self.words]
+        self.sign[8:] = [not w[0].isalnum() for w in self.words]
+        self.sign[[NUMBER, MIXED, SIGN]] = True
+        self.total = float(self.tables[0].sum()) + 1.0
+
+    def logs(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place, log-probability)`` of every token and line end of a sequence."""
+        if len(codes) < 3:
+            return np.zeros(0, np.int64), np.zeros(0)
+        a, b, c, place = _grams(codes)
+        ab, bc, abc = _slots(a, b, c)
+        one, two, three = self.tables
+        p1 = (one[c] + 0.1) / self.total
+        p2 = (two[bc] + 5.0 * p1) / (one[b] + 5.0)
+        return place, np.log((three[abc] + 5.0 * p2) / (two[ab] + 5.0))
+
+    def means(self, owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+        """Mean log-probability of the tokens of each of ``n`` owners, 0 for one without tokens."""
+        place, logs = self.logs(codes)
+        of = owner[place]
+        return np.bincount(of, logs, minlength=n) / np.maximum(np.bincount(of, minlength=n), 1)
+
+    def prose(self, line: np.ndarray, codes: np.ndarray, page: np.ndarray, n_pages: int) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each page's words that stand in lines of prose, 1 without words, and the number of its words.
+
+        ``line`` owns each code and ``page`` each line. A line of ``MIN_TOKENS`` tokens is prose if its mean log-probability
+        is inside the band, or not below ``FAR`` times its lower end with ``FUNCTION_RATE`` of function words.
         """
+        n = len(page)
+        mean = self.means(line, codes, n)
+        real = codes != START
+        real &= codes != END
+        size = np.bincount(line[real], minlength=n)
+        words = size - np.bincount(line[self.sign[codes]], minlength=n)
+        helpers = np.bincount(line[self.function[codes]], minlength=n)
         low, high = self.band
-        mean = self.mean_log(seq)
-        if low <= mean <= high:
-            return True
-        return 2 * low <= mean < low and sum(map(self.function.__contains__, seq)) >= FUNCTION_RATE * words
+        good = (mean >= low) & (mean <= high) | (mean >= FAR * low) & (mean < low) & (helpers >= FUNCTION_RATE * words)
+        good &= size >= MIN_TOKENS
+        total = np.bincount(page, words, minlength=n_pages)
+        held = np.bincount(page[good], words[good], minlength=n_pages)
+        return np.where(total > 0, held / np.maximum(total, 1), 1.0), total.astype(np.int64)
+
+    def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`prose` of texts of lines."""
+        shares, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for at, end in slices(texts):
+            lines = Lines([plain(x) for x in texts[at:end]])
+            line, codes = sequences(*lines.tokens(self.vocabulary), np.ones(lines.n_lines, bool))
+            share, size = self.prose(line, codes, lines.page, end - at)
+            shares.append(share)
+            sizes.append(size)
+        return np.concatenate(shares), np.concatenate(sizes)
+
+    def abnormal(self, means: np.ndarray) -> np.ndarray:
+        """Whether a page of this mean log-probability lies outside the band of pages."""
+        return (means < self.pages[0]) | (means > self.pages[1])
 
-    def prose_share(self, lines: list[str]) -> tuple[float, int]:
-        """Share of the words that stand in normal lines of ``MIN_TOKENS`` tokens, and the number of words."""
-        good = total = 0
-        for line in lines:
-            seq = self.encode(line)
-            n = len(seq) - 3 - sum(map(self.signs.__contains__, seq))
-            total += n
-            if len(seq) - 3 >= MIN_TOKENS and self.normal(seq, n):
-                good += n
-        return (good / total if total else 1.0), total
 
+def language(lang: str | None) -> str:
+    """Languages by the first part of their tag, in lower case: ``en-GB`` is ``en``."""
+    return re.split("[-_]", (lang or "").strip().lower())[0]
 
-def _lines(text: str | None) -> list[str]:
-    return [x for x in (text or "").split("\n") if x.strip()]
 
+def _encoded(batch: pa.RecordBatch, vocabulary: Vocabulary, held: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``(line, code)`` of the lines that are held out of the training, one in ``HELD_OUT`` by their text, or of all others."""
+    texts = batch.column(0).to_pylist()
+    for at, end in slices(texts):
+        lines = Lines(texts[at:end])
+        yield sequences(*lines.tokens(vocabulary), (lines.line_hashes() % np.uint64(HELD_OUT) == 0) == held)
 
-def train(df: DataFrame, text: str, language: str | None = None) -> ProseModel:
+
+def train(df: DataFrame, text: str, lang: str | None = None) -> ProseModel:
     """The model of all lines of ``text``: function words, counts and band each in a pass over all rows.
 
-    Function words are those in at least ``FUNCTION_SHARE`` of the texts of a ``language`` (of all texts where the column
-    is not given), of languages with ``MIN_TEXTS`` texts; the ``VOCABULARY`` commonest of them, the used slots of tables of
-    ``TABLE`` entries and a histogram of ``BINS`` bins are all that comes to the driver.
+    Function words are those in at least ``FUNCTION_SHARE`` of the texts of a language (of all texts where no column is
+    given) and in ``FUNCTION_TEXTS`` of them; texts hold few distinct words in a quarter of all texts, as each text lends
+    weight only to words it has, so their number is bounded by four times the mean number of distinct words of a text and
+    language. They, the used slots of tables of ``TABLE`` entries and a histogram of ``BINS`` bins are all that comes to
+    the driver. An empty table gives a model without a band.
     """
-    lang = F.coalesce(F.lower(F.col(language)), F.lit("")) if language else F.lit("")
-    texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), lang.alias("lang"))
+    group = F.col(lang) if lang else F.lit("")
+    texts = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"), group.alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found: Counter = Counter()
-            for x, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found.update((group, t) for t in {t for t in tokens(x) if t.isascii() and not t.isdigit()})
-                found[group, ""] += 1
+            for x, tag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key = language(tag)
+                found.update((key, t) for t in {t for t in tokens(x) if t.isascii() and not t.isdigit()})
+                found[key, ""] += 1
             keys = list(found)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
     spread_of = texts.mapInArrow(count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    groups = spread_of.where("word = ''").select("lang", F.col("n").alias("all")).where(F.col("all") >= MIN_TEXTS)
-    common = spread_of.where("word <> ''").join(groups, "lang").where(F.col("n") >= FUNCTION_SHARE * F.col("all"))
-    ranked = common.groupBy("word").agg(F.max(F.col("n") / F.col("all")).alias("share")).orderBy(F.col("share").desc(), "word")
-    vocabulary = [r.word for r in ranked.limit(VOCABULARY).collect()]
+    groups = spread_of.where("word = ''").select("lang", F.col("n").alias("all"))
+    common = spread_of.where("word <> ''").join(groups, "lang").where((F.col("n") >= FUNCTION_SHARE * F.col("all")) & (F.col("n") >= FUNCTION_TEXTS))
+    words = sorted(r.word for r in common.select("word").distinct().collect())
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = ProseModel(vocabulary)
-        tables = np.zeros((3, TABLE), np.int64)
+        vocabulary, counts = Vocabulary(words), Counts()
         for batch in batches:
-            one: list[np.ndarray] = []
-            for x in batch.column(0).to_pylist():
-                for line in _lines(x):
-                    if crc32(line.encode("utf-8", "replace")) % HELD_OUT:
-                        one.append(np.array(model.encode(line), np.int64))
-            if not one:
-                continue
-            seq = np.concatenate(one)
-            a, b, c = seq[:-2], seq[1:-1], seq[2:]
-            inside = (c != START) & (b != END) & (a != END)
-            a, b, c = a[inside], b[inside], c[inside]
-            # contexts: (a, b) as often as a token follows, (b) likewise
-            np.add.at(tables[0], c, 1)
-            first = (a == START) & (b == START)
-            tables[0, START] += int(first.sum())
-            np.add.at(tables[1], (b * 40503 + c * 69621) & 0xFFFFF, 1)
-            tables[1, (START * 40503 + START * 69621) & 0xFFFFF] += int(first.sum())
-            np.add.at(tables[2], (a * 22695477 + b * 1103515 + c * 134775813) & 0xFFFFF, 1)
-        used = np.flatnonzero(tables.reshape(-1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(tables.reshape(-1)[used])], names=["slot", "n"])
-
-    rows = texts.mapInArrow(grams, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    tables = np.zeros(3 * TABLE, np.int64)
-    tables[rows["slot"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    tables = tables.reshape(3, TABLE)
+            for _, codes in _encoded(batch, vocabulary, False):
+                counts.add(codes)
+        yield counts.batch()
+
+    tables = Counts.collected(texts.mapInArrow(grams, "slot bigint, n bigint")).tables.astype(np.int32)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hist = ProseModel(vocabulary, tables), np.zeros(BINS, np.int64)
+        model, hist = ProseModel(words, tables), np.zeros(BINS, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                for line in _lines(x):
-                    if crc32(line.encode("utf-8", "replace")) % HELD_OUT == 0:
-                        seq = model.encode(line)
-                        if len(seq) - 3 >= MIN_TOKENS:
-                            hist[min(BINS - 1, int(-model.mean_log(seq) * SCALE))] += len(seq) - 3
+            for line, codes in _encoded(batch, model.vocabulary, True):
+                if len(codes):
+                    means = model.means(line, codes, int(line[-1]) + 1)
+                    size = np.bincount(line, minlength=len(means)) - 3
+                    wide = size >= MIN_TOKENS
+                    bins = np.minimum(BINS - 1, (-means[wide] * SCALE).astype(np.int64))
+                    hist += np.bincount(bins, size[wide], minlength=BINS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(hist)], names=["bin", "n"])
 
-    hist = texts.mapInArrow(spread, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
+    low, high = histogram_ends(texts.mapInArrow(spread, "bin bigint, n bigint"), *TAILS)
+    return ProseModel(words, tables, (low - LINE_ROOM, high + LINE_ROOM))
+
+
+def histogram_ends(df: DataFrame, worst: float, best: float) -> tuple[float, float]:
+    """The ends that leave these shares of all counts below and above, from ``(bin, n)`` of mean log-probabilities."""
+    hist = df.groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").toPandas()
     total = hist["n"].sum() if len(hist) else 0
     if not total:
-        return ProseModel(vocabulary, tables)
-    share = hist["n"].cumsum().to_numpy() / total
-    worst = int(np.searchsorted(share, 1 - TAILS[0])) + 1
-    best = int(np.searchsorted(share, TAILS[1]))
-    return ProseModel(vocabulary, tables, (-worst / SCALE, -best / SCALE))
+        return -1e9, 1e9
+    share = hist.set_index("bin")["n"].reindex(range(BINS), fill_value=0).cumsum().to_numpy() / total
+    return -(int(np.searchsorted(share, 1 - worst)) + 1) / SCALE, -int(np.searchsorted(share, best)) / SCALE
+
+
+def second_step(model: ProseModel, bodies: DataFrame) -> ProseModel:
+    """The model trained on its prose and on the ``bodies(codes, prose_share, n_tokens)`` that are mainly prose, with the band of pages.
+
+    The band leaves ``PAGE_TAIL`` of these pages outside at either end and is then widened by ``PAGE_ROOM`` of its ends, so
+    that no page it was trained on is near them. Without such pages the band is that of far lines.
+    """
+    chosen = bodies.where((F.col("prose_share") >= TRAINING_SHARE) & (F.col("n_tokens") > 0)).select("codes")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
+        for batch in batches:
+            counts.add(joined(batch.column(0))[1])
+        yield counts.batch()
+
+    more = Counts.collected(chosen.mapInArrow(grams, "slot bigint, n bigint")).tables
+    words, tables = model.words, np.minimum(model.tables.astype(np.int64) + more, 2**31 - 1).astype(np.int32)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, hist = ProseModel(words, tables), np.zeros(BINS, np.int64)
+        for batch in batches:
+            means = scorer.means(*joined(batch.column(0)), batch.num_rows)
+            hist += np.bincount(np.minimum(BINS - 1, (-means * SCALE).astype(np.int64)), minlength=BINS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(hist)], names=["bin", "n"])
+
+    low, high = histogram_ends(chosen.mapInArrow(spread, "bin bigint, n bigint"), PAGE_TAIL, PAGE_TAIL)
+    if low == -1e9:
+        return ProseModel(words, tables, model.band, (FAR * model.band[0], model.band[1]))
+    return ProseModel(words, tables, model.band, (low * (1 + PAGE_ROOM), high * (1 - PAGE_ROOM)))
+
+
+def joined(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, code)`` of the sequences of all pages of a binary array."""
+    parts = [np.frombuffer(x or b"", np.uint16) for x in bodies.to_pylist()]
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    return owner, np.concatenate(parts) if parts else np.zeros(0, np.uint16)
