@@ -1,10 +1,11 @@
 """Ranking, residuals, packing and mixing."""
 
 import math
+import os
 import random
 
 import pytest
-from conftest import rows
+from conftest import SF, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -60,6 +61,21 @@ def test_residuals_against_plain_arithmetic(spark):
     assert residuals.adjusted_residuals(df.where("word = 'c'"), "url", "word", "tf").first().residual is None
 
 
+def test_characteristic_rows_are_those_of_enough_residual(spark):
+    rng = random.Random(4)
+    table = [(f"u{rng.randrange(40)}", f"w{int(rng.paretovariate(0.8))}", rng.randrange(1, 9)) for _ in range(900)]
+    df = spark.createDataFrame(table, "url string, word string, tf int")
+    scored = residuals.adjusted_residuals(df, "url", "word", "tf")
+    for share in (0.02, 0.06, 0.3):
+        got = residuals.characteristic(scored, F.col("record_total") * share)
+        want = scored.where(F.col("observed") / F.col("record_total") >= share)
+        assert rows(got, "url", "word") == rows(want, "url", "word") != []
+    from webrank.llm import catalogue
+
+    if os.path.isdir(SF):
+        assert "SQRT" in catalogue.p7_found(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 30), min_size=1, max_size=9), st.integers(0, 60))
 def test_fill_reaches_the_best_sum(sizes, room):

@@ -99,10 +99,15 @@ def p6_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Characteristic words: the margins of the residuals, then the exact share and rarity."""
+    """Characteristic words: residuals of at least that of the least share asked for at the word's rarity, then the exact condition.
+
+    The share tf / T must reach 0.06 / rarity, so the count must reach T times that, and with the margins as they are the
+    residual must reach the residual of that count.
+    """
     scored = residuals.adjusted_residuals(load(spark, sf, "tf"), "url", "word", "tf")
     rarity = F.log(F.col("n_records") / F.col("term_records")) / F.nullif(F.log(F.col("n_records").cast("double")), F.lit(0.0))
-    return scored.where((F.col("term_records") >= 3) & (F.col("observed") / F.col("record_total") * rarity >= 0.06)).select("url", "word")
+    found = residuals.characteristic(scored, F.col("record_total") * 0.06 / F.nullif(rarity, F.lit(0.0)))
+    return found.where((F.col("term_records") >= 3) & (F.col("observed") / F.col("record_total") * rarity >= 0.06)).select("url", "word")
 
 
 def p7_residuals(spark: SparkSession, sf: str) -> DataFrame:

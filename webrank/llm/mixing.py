@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 
 from webrank.plans.session import materialize
 
-MAX_SOURCES = 100_000
-BUCKETS = 1024
-
 
 def water_fill(amount: float, weights: list[float], rooms: list[float]) -> list[float]:
     """Shares of ``amount`` in proportion to ``weights``, none above its room; what is cut off goes to the others."""
@@ -62,8 +59,8 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     ``choice`` is ``(source, doc_id, n_tokens, repeats)`` of the records used, ``shares`` tells for each target source its
     target, budget, tokens and share reached. ``total`` is the wanted size, by default that of all records with a target.
     Records without a target source are left out; a record's repeated rows count once. A target listed twice counts with
-    its first entry; null shares or repeats count as 0. The language of a source is its commonest, the domain the first
-    label of its name. Only per-source totals come to the driver, ``MAX_SOURCES`` at most.
+    its greatest share and repeats; null shares or repeats count as 0. The language of a source is its commonest, the domain the first
+    label of its name. Only one row of totals for each target source comes to the driver, which holds the targets anyway.
     """
     goal = targets.where("source is not null").groupBy("source").agg(
         F.max(F.coalesce("target_share", F.lit(0.0))).alias("target_share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("max_repeats")
@@ -74,9 +71,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     docs = materialize(docs.join(goal.select("source"), "source", "left_semi"))
     langs = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
     per = langs.groupBy("source").agg(F.max_by("lang", F.struct("n", "lang")).alias("lang"), F.sum("t").alias("t"))
-    rows = goal.join(per, "source", "left").orderBy("source").limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
+    rows = goal.join(per, "source", "left").orderBy("source").collect()
     spark = sizes.sparkSession
     leaves = [((r.source.split(".")[0], r.lang or ""), float(r.target_share), float((r.t or 0) * r.max_repeats)) for r in rows]
     total = sum(r.t or 0 for r in rows) if total is None else total
@@ -88,7 +83,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, total: float | None = None
     schema = "source string, lang string, target_share double, max_repeats int, available bigint, budget bigint, epochs int"
     plan_df = spark.createDataFrame(plan, schema).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available"))
     order = F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id"))
-    ordered = docs.drop("lang").join(F.broadcast(plan_df.select("source", "epochs", "rest")), "source")
+    ordered = docs.drop("lang").join(F.broadcast(plan_df.select("source", "epochs", "rest")), "source")  # the driver's own rows
     ordered = ordered.withColumn("o", order).withColumn("bucket", F.shiftrightunsigned("o", 54))
     sums = ordered.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("bt"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

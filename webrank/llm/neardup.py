@@ -191,7 +191,7 @@ def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan(), rounds: int = 30) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan()) -> DataFrame:
     """``(id, class_id, n_links)``: one row per record with the least id of its group and its links to other texts.
 
     Groups are connected components of the similarity graph, found by label propagation over the representatives with
@@ -202,7 +202,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan
     edges = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     degree = edges.groupBy("id_a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("id_a", "rep")
     labels = degree.select("rep", F.col("rep").alias("label"))
-    for _ in range(rounds):
+    changed = 1
+    while changed:  # labels only fall, so this ends
         near = edges.join(labels.withColumnRenamed("rep", "id_b"), "id_b").groupBy("id_a").agg(F.min("label").alias("m"))
         step = labels.join(near.withColumnRenamed("id_a", "rep"), "rep").select("rep", "label", F.least("label", "m").alias("l2"))
         jump = step.select(F.col("rep").alias("l2"), F.col("l2").alias("l3"))
@@ -210,9 +211,5 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan
         step = materialize(step)
         changed = step.where("new < label").limit(1).count()
         labels = step.select("rep", F.col("new").alias("label"))
-        if not changed:
-            break
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
     out = members.join(labels, "rep", "left").join(degree, "rep", "left")
     return out.select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
