@@ -58,13 +58,15 @@ def test_folds(spark):
     with pytest.raises(ValueError):
         c.fold(numbers, 0, "mean")
     assert rows(c.fold_by_key(pairs(spark, ("k", "2"), ("k", "1")), ">", lambda a, x: F.concat(a, x))) == [("k", ">12")]
+    skip = c.fold_by_key(pairs(spark, ("k", "2"), ("k", "1"), ("k", "3"), ("j", "3")), ">", lambda a, x: F.when(x != "3", F.concat(a, x)))
+    assert rows(skip) == [("j", ">"), ("k", ">12")]
 
 
 def test_cogroup_join_and_group_by(spark):
-    a = pairs(spark, ("fruit", "banana"), ("fruit", "apple"), ("x", "1"))
-    b = pairs(spark, ("fruit", "cherry"), ("fruit", "fig"), ("fruit", "date"), ("y", "2"))
-    assert rows(c.cogroup(a, b)) == [("fruit", "[apple,banana],[cherry,date,fig]"), ("x", "[1],[]"), ("y", "[],[2]")]
-    assert len(rows(c.join(a, b))) == 6 and ("fruit", "apple,fig") in rows(c.join(a, b))
+    a = pairs(spark, ("tree", "oak"), ("tree", "elm"), ("x", "1"))
+    b = pairs(spark, ("tree", "7"), ("tree", "9"), ("tree", "8"), ("y", "2"))
+    assert rows(c.cogroup(a, b)) == [("tree", "[elm,oak],[7,8,9]"), ("x", "[1],[]"), ("y", "[],[2]")]
+    assert len(rows(c.join(a, b))) == 6 and ("tree", "elm,9") in rows(c.join(a, b))
     assert rows(c.group_by(c.parallelize(spark, ["ab", "a", "b"]), F.substring("value", 1, 1))) == [("a", "a,ab"), ("b", "b")]
 
 
@@ -161,6 +163,29 @@ def test_tokens(spark):
         ("javascript:void(0)", None),
     ],
 )
+def test_strict_normalise(spark, link, want):
+    assert value(spark, urls.normalise(F.lit(link), F.lit("https://h.example:443/dir/base.html"), strict=True)) == want
+
+
+@pytest.mark.parametrize(
+    ("link", "want"),
+    [
+        ("#top", None),
+        ("mailto:x@y", "https://h.example:443/dir/mailto:x@y"),
+        ("/a/../b#f", "https://h.example:443/a/../b"),
+        ("../../../x/", "https://h.example:443/x"),
+        ("page", "https://h.example:443/dir/page"),
+        ("./p#a#b", "https://h.example:443/dir/./p#a"),
+        ("http://Other.example", "http://Other.example:80/"),
+        ("HTTPS://o.example:8443/p", "HTTPS://o.example:8443/p"),
+        ("ftp://o.example/p", None),
+        ("/pic.JPG", None),
+        ("/pic.jpg?x=1", "https://h.example:443/pic.jpg?x=1"),
+        ("/null", None),
+        ("//c.example/z", "https://h.example:443//c.example/z"),
+        ("", "https://h.example:443/dir"),
+    ],
+)
 def test_normalise(spark, link, want):
     assert value(spark, urls.normalise(F.lit(link), F.lit("https://h.example:443/dir/base.html"))) == want
 
@@ -181,7 +206,8 @@ def test_html_functions(spark):
     assert "menu" not in value(spark, htmltext.remove_elements(F.lit(html))) and "<NAV>" in value(spark, htmltext.remove_elements(F.lit(html)))
     assert value(spark, htmltext.hrefs(F.lit(html))) == ["/u"]
     assert value(spark, htmltext.strip_tags(F.lit("<b>x</b> <a href=1>y</a> <article>"))) == "x <a href=1>y <article>"
-    assert value(spark, htmltext.collapse(F.lit(" a\r\nb  \n c "))) == "a\nb c"
+    assert value(spark, htmltext.collapse(F.lit(" a\r\nb  \n c "))) == "a b c"
+    assert value(spark, htmltext.collapse(F.lit("\na\nb\x0b\x0bc\t"))) == "a\nb c"
     words = F.array(F.lit("museum"), F.lit("art"), F.lit("first"))
     assert value(spark, htmltext.description(F.lit(html), words)) == "the museum of art"
     assert value(spark, htmltext.description(F.lit("nothing"), words)) == ""
@@ -260,5 +286,5 @@ def test_whole_index_takes_documents_of_every_language(spark, tmp_path):
         for line in (text or "").split("\n"):
             line = re.sub("<.*?>", " ", line).lower()
             want |= {(i, w) for w in re.sub("[.,:;!?'\"()-]+", " ", line).split()}
-    got = rows(catalogue.queries()["idx2_whole_index"](spark, str(tmp_path)))
+    got = rows(catalogue.queries()["idx2_simple_index"](spark, str(tmp_path)))
     assert got == sorted(want, key=repr) and {i for i, _ in got} == {1, 2, 3, 4, 5}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrank.functions import urls
@@ -28,9 +28,20 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
 
 
-def links(html: Column, base: Column) -> Column:
+def links(html: Column, base: Column, strict: bool = False) -> Column:
     """The normalised targets of all anchors; those that lead to no page are left out (HTM2)."""
-    return F.filter(F.transform(hrefs(html), lambda h: urls.normalise(h, base)), lambda u: u.isNotNull())
+    return F.filter(F.transform(hrefs(html), lambda h: urls.normalise(h, base, strict=strict)), lambda u: u.isNotNull())
+
+
+def link_rows(pages: DataFrame, html: str, base: str, fragment_is_self: bool = False, strict: bool = False) -> DataFrame:
+    """``(src, dst)``: a row for each link of each page that leads to one (HTM2, URL2). Links are parted once, not once per use."""
+    found = pages.select(F.col(base).alias("src"), urls.plain_parts(F.col(base)).alias("root"), F.explode(hrefs(F.col(html))).alias("href"))
+    if strict:
+        dst = urls.strict_absolute(F.col("href"), F.col("src"), fragment_is_self)
+    else:
+        found = found.withColumn("own", urls.plain_parts(F.col("href")))
+        dst = urls.absolute(F.col("href"), F.col("own"), F.col("src"), F.col("root"), fragment_is_self)
+    return found.select("src", dst.alias("dst")).where("dst is not null")
 
 
 def plausible_links(found: Column) -> Column:
@@ -49,8 +60,9 @@ def strip_tags(html: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Line ends unified, runs of white space made one space, ends trimmed (HTM6)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, "\\r\\n?", "\n"), "[ \\t\\n\\f\\r]{2,}", " "))
+    """Every carriage return and line feed made a line feed, runs of white space a space, ends up to U+0020 trimmed (HTM6)."""
+    runs = F.regexp_replace(F.regexp_replace(text, "[\\r\\n]", "\n"), "[ \\t\\n\\x0B\\f\\r]{2,}", " ")
+    return F.regexp_replace(runs, "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z", "")
 
 
 def truncate(text: Column, chars: int = PAGE_CHARS) -> Column:

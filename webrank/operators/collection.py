@@ -92,8 +92,8 @@ def sample(df: DataFrame, fraction: float, seed: int | None = None) -> DataFrame
 
 
 def hash_sample(df: DataFrame, key: Column, share: int, of: int) -> DataFrame:
-    """Rows whose key's CRC-32 falls in ``share`` of ``of`` classes: the same rows wherever it runs (FIL2)."""
-    return df.where(F.crc32(key.cast("string")) % of < share)
+    """Rows of which the MD5 of the key falls in ``share`` of ``of`` classes: the same rows wherever it runs (FIL2)."""
+    return df.where(F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % of < share)
 
 
 def _folded(column: Column, zero: object, how: Fold) -> Column:
@@ -121,8 +121,9 @@ def fold(df: DataFrame, zero: object, how: Fold, column: str = "value") -> DataF
 
 
 def fold_by_key(df: DataFrame, zero: object, how: Fold) -> DataFrame:
-    """The fold of each key's values, ``zero`` applied once per key (AGG3)."""
-    return df.groupBy("key").agg(_folded(F.col("value"), zero, how).alias("value"))
+    """The fold of each key's values, ``zero`` applied once per key; a step that gives null leaves the accumulator (AGG3)."""
+    step = (lambda acc, x: F.coalesce(how(acc, x), acc)) if callable(how) else how
+    return df.groupBy("key").agg(_folded(F.col("value"), zero, step).alias("value"))
 
 
 def group_by(df: DataFrame, key: Column, column: str = "value") -> DataFrame:

@@ -30,6 +30,12 @@ def idf(counts: DataFrame, n_docs: int | Column) -> DataFrame:
     return counts.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(n / F.col("df")))
 
 
+def idf_of(counts: DataFrame, total: DataFrame) -> DataFrame:
+    """``(word, df, n, idf)`` with ``n`` from the one row of ``total(n)``, so that no count runs before the plan (IDX3, AGG10, MTH1)."""
+    df = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return df.join(F.broadcast(total.select("n"))).withColumn("idf", F.log(F.col("n") / F.col("df")))  # one row
+
+
 def posting_lists(posts: DataFrame, key: str) -> DataFrame:
     """``(word, postings)``: the compatible text form, most frequent record first, commas between (IDX1, TOP4, TXT7).
 

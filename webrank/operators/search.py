@@ -40,15 +40,31 @@ def page(scored: DataFrame, number: int = 1, size: int = PAGE, key: str = "url")
     return best.withColumn("position", place).where(F.col("position") > (number - 1) * size).select("position", key, "score")
 
 
-def suggest(idf: DataFrame, query: str, n_docs: int, limit: int = 10) -> DataFrame:
-    """``(suggestion, weight)``: the query with its last word completed, by df * log10(N / df) (SUG1, MTH2, TOP3, FIL4)."""
+def suggest(idf: DataFrame, query: str, n_docs: int | None = None, limit: int = 10) -> DataFrame:
+    """``(suggestion, weight)`` from ``idf(word, df)``, whose column ``n`` counts the records if ``n_docs`` is not given: the query with its last word completed, by df * log10(N / df) (SUG1, MTH2, TOP3, FIL4)."""
     last = query.split(" ")[-1].lower() if query.strip() else ""
-    weight = F.round(F.col("df") * F.log10(F.lit(n_docs) / F.col("df")), 6)
+    weight = F.round(F.col("df") * F.log10((F.col("n") if n_docs is None else F.lit(n_docs)) / F.col("df")), 6)
     found = idf.where(F.col("word").startswith(last)).select("word", weight.alias("weight"))
     best = found.orderBy(F.col("weight").desc(), "word").limit(limit)
     return best.select(replace_last_word(F.lit(query), F.col("word")).alias("suggestion"), "weight")
 
 
+def suggest_stored(index: DataFrame, n_rows: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """One row with the completed queries in order, commas between; no row where nothing fits or there is no index (SUG2).
+
+    The last word is completed as it is written. ``index(word, df)`` counts postings, ``n_rows(n)`` is the number of stored
+    pages; words come by falling df * log10(n / df), equal ones by name.
+    """
+    last = query.split(" ")[-1]
+    weight = F.round(F.col("df") * F.log10(F.col("n") / F.col("df")), 6)
+    found = index.select("word", "df").where(F.col("word").startswith(last)).join(F.broadcast(n_rows.select("n"))).select("word", weight.alias("weight"))  # one row
+    best = found.orderBy(F.col("weight").desc(), "word").limit(limit)
+    text = replace_last_word(F.lit(query), F.col("word"))
+    entry = F.struct((-F.col("weight")).alias("o"), F.col("word"), text.alias("s"))
+    listed = best.agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["s"]), ",").alias("suggestions"))
+    return listed.where("suggestions <> ''")
+
+
 def decorate(results: DataFrame, pages: DataFrame, query: str) -> DataFrame:
     """``results`` with the ``title`` and ``description`` of their page from ``pages(url, html)`` (RES1)."""
     both = results.join(pages.select("url", "html"), "url", "left")

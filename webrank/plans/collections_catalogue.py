@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrank.functions import text as txt
 from webrank.operators import collection as c
 from webrank.plans.registry import Registry
-from webrank.plans.session import load, materialize
+from webrank.plans.session import load, materialize, scratch
 from webrank.sources import rowformat, store
 
 R = Registry()
@@ -73,6 +75,34 @@ def snk1_save_and_read(spark, sf):
     return materialize(load(spark, sf, "nation"))
 
 
+@R.add("""SELECT 'before' AS step, n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 'after', n_nationkey, n_name, n_regionkey FROM nation""")
+def snk5_persist_rename_delete(spark, sf):
+    """A table saved under a name (SNK1, SNK5), renamed (SNK6), its old name gone, then deleted (SNK7); both readings come out."""
+    old, new = (f"webrank_{uuid.uuid4().hex}" for _ in range(2))
+    store.persist(load(spark, sf, "nation"), old)
+    before = materialize(spark.table(old).select(F.lit("before").alias("step"), "*"))
+    store.rename(spark, old, new)
+    if spark.catalog.tableExists(old):
+        raise RuntimeError("the old name is still there")
+    after = materialize(spark.table(new).select(F.lit("after").alias("step"), "*"))
+    store.delete(spark, new)
+    if spark.catalog.tableExists(new):
+        raise RuntimeError("the table is still there")
+    return before.unionByName(after)
+
+
+@R.add("""
+    SELECT 'customer' AS "table", CAST(c_custkey AS VARCHAR) AS key, 'c_name' AS "column", c_name AS value FROM customer WHERE c_name IS NOT NULL
+    UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), 'c_mktsegment', c_mktsegment FROM customer WHERE c_mktsegment IS NOT NULL
+    UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR), 'n_name', n_name FROM nation WHERE n_name IS NOT NULL""")
+def src9_read_tables(spark, sf):
+    """Tables written as files of the row format into one folder, and all read back."""
+    folder = scratch(spark)
+    rowformat.write_table(load(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey", folder, "customer")
+    rowformat.write_table(load(spark, sf, "nation").select("n_nationkey", "n_name"), "n_nationkey", folder, "nation")
+    return rowformat.read_tables(spark, folder).select("table", "key", "column", F.col("value").cast("string").alias("value"))
+
+
 @R.add("SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id, event_type")
 def snk2_upsert_cells(spark, sf):
     return store.latest_cells(load(spark, sf, "events"), "user_id", "event_type", "value", "event_id")
@@ -185,6 +215,11 @@ def fil2_sample(spark, sf):
     return c.sample(load(spark, sf, "orders"), 0.1, 7)
 
 
+@R.add("SELECT o_orderkey, o_totalprice FROM orders WHERE ('0x' || left(md5(CAST(o_orderkey AS VARCHAR)), 8))::BIGINT % 10 < 3")
+def fil2_hash_sample(spark, sf):
+    return c.hash_sample(load(spark, sf, "orders"), F.col("o_orderkey"), 3, 10).select("o_orderkey", "o_totalprice")
+
+
 @R.add("SELECT c_custkey, c_name FROM customer WHERE starts_with(c_name, 'Customer#0000001')")
 def fil4_prefix(spark, sf):
     return c.filter_(load(spark, sf, "customer"), F.col("c_name").startswith("Customer#0000001")).select("c_custkey", "c_name")
@@ -259,6 +294,12 @@ def agg3_fold_by_key(spark, sf):
     return c.fold_by_key(pairs, 0, "sum")
 
 
+@R.add("SELECT CAST(n_regionkey AS VARCHAR) AS key, coalesce(string_agg(n_name, '' ORDER BY n_name) FILTER (n_name < 'J'), '') AS value FROM nation GROUP BY n_regionkey")
+def agg3_null_steps(spark, sf):
+    """A fold whose step gives null for names from J on: those leave what there is."""
+    return c.fold_by_key(_pairs(spark, sf, "nation", "n_regionkey", "n_name"), "", lambda acc, x: F.when(x < "J", F.concat(acc, x)))
+
+
 @R.add("SELECT CAST(n_regionkey AS VARCHAR) AS key, string_agg(n_name, ',' ORDER BY n_name) AS value FROM nation GROUP BY n_regionkey")
 def agg4_group_by(spark, sf):
     return c.group_by(load(spark, sf, "nation").withColumn("value", F.col("n_name")), F.col("n_regionkey").cast("string"))
@@ -314,7 +355,6 @@ def fmt1_row_text(spark, sf):
 
 @R.add("SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL")
 def stream_visited(spark, sf):
-    from webrank.plans.session import scratch
     from webrank.streaming import crawlstream as s
 
     stream = s.read_stream(spark, f"{sf}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
@@ -323,7 +363,6 @@ def stream_visited(spark, sf):
 
 @R.add("SELECT host, count(*) AS fetches, epoch_us(max(fetched_at)) AS last_us FROM crawl WHERE host IS NOT NULL GROUP BY host")
 def stream_host_state(spark, sf):
-    from webrank.plans.session import scratch
     from webrank.streaming import crawlstream as s
 
     stream = s.read_stream(spark, f"{sf}/crawl.parquet").select("host", F.col("fetched_at").cast("timestamp").alias("fetched_at"))

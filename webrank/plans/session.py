@@ -17,10 +17,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share: ``spark.checkpoint.dir`` of the session, a local one only where it is unset."""
+    """Folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset, a local folder is made if the session runs on this machine alone; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="webrank-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

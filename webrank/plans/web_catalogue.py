@@ -53,17 +53,10 @@ def idx1_compat_string(spark, sf):
     return index.posting_lists(posts, "doc_id")
 
 
-@R.add(r"""
-    SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(text, '<.*?>', ' ', 'g')),
-      '[\r\n\t]+', ' ', 'g'), '[.,:;!?''"()-]+', ' ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL AND lang = 'en'""")
-def idx2_simple_index(spark, sf):
-    return index.simple_index(load(spark, sf, "documents").where("lang = 'en'"), "doc_id", "text").select("doc_id", "word")
-
-
 @R.add(r"""
     SELECT DISTINCT doc_id, unnest(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(regexp_replace(text, '<.*?>', ' ', 'g')),
       '[\r\n\t]+', ' ', 'g'), '[.,:;!?''"()-]+', ' ', 'g'), '\s+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL""")
-def idx2_whole_index(spark, sf):
+def idx2_simple_index(spark, sf):
     return index.simple_index(load(spark, sf, "documents"), "doc_id", "text").select("doc_id", "word")
 
 
@@ -72,7 +65,7 @@ def idx2_whole_index(spark, sf):
     FROM ({TOKENS_SQL}) GROUP BY word""")
 def idx3_idf(spark, sf):
     docs = load(spark, sf, "documents")
-    found = index.idf(index.term_counts(docs, "doc_id", "text"), docs.count())
+    found = index.idf_of(index.term_counts(docs, "doc_id", "text"), docs.agg(F.count(F.lit(1)).alias("n")))
     return found.select("word", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -93,7 +86,7 @@ _SEARCH = f"""
 def _tf(spark, sf):
     counts = load(spark, sf, "tf").select("url", "word", "tf").where("url is not null and word is not null").distinct()
     ranks = load(spark, sf, "pageranks").groupBy("url").agg(F.max("rank").alias("rank"))
-    return counts, index.idf(counts, counts.select("url").distinct().count()), ranks
+    return counts, index.idf_of(counts, counts.agg(F.countDistinct("url").alias("n"))), ranks
 
 
 @R.add(_SEARCH.format(prior="sqrt(1 + coalesce(rank, 0))") + "SELECT position, url, score FROM o WHERE position <= 10")
@@ -115,30 +108,48 @@ def srh2_linear_prior(spark, sf):
     WITH {_TF} SELECT 'old ' || word AS suggestion, round(df * log10((SELECT n FROM n) / CAST(df AS DOUBLE)), 6) AS weight FROM i
     WHERE starts_with(word, 'th') ORDER BY weight DESC, word LIMIT 10""")
 def sug1_suggest(spark, sf):
-    counts, idf, _ = _tf(spark, sf)
-    return search.suggest(idf, "old th", counts.select("url").distinct().count())
+    _, idf, _ = _tf(spark, sf)
+    return search.suggest(idf, "old th")
 
 
 @R.add(f"""
     WITH {_TF}, b AS (SELECT word, round(df * log10((SELECT n FROM n) / CAST(df AS DOUBLE)), 6) AS w FROM i WHERE starts_with(word, 'ca') ORDER BY w DESC, word LIMIT 10)
     SELECT '{{"suggestions":[' || string_agg('"' || word || '"', ',' ORDER BY w DESC, word) || ']}}' AS json FROM b""")
 def jsn1_suggestions_json(spark, sf):
-    counts, idf, _ = _tf(spark, sf)
-    return search.suggestions_json(search.suggest(idf, "ca", counts.select("url").distinct().count()))
+    _, idf, _ = _tf(spark, sf)
+    return search.suggestions_json(search.suggest(idf, "ca"))
+
+
+@R.add(f"""
+    WITH {_TF}, n2 AS (SELECT count(DISTINCT url) AS n FROM crawl WHERE url IS NOT NULL),
+    b AS (SELECT word, round(df * log10((SELECT n FROM n2) / CAST(df AS DOUBLE)), 6) AS w FROM i WHERE starts_with(word, 'ca') ORDER BY w DESC, word LIMIT 10)
+    SELECT string_agg('an old ' || word, ',' ORDER BY w DESC, word) AS suggestions FROM b HAVING count(*) > 0""")
+def sug2_stored_suggestions(spark, sf):
+    _, idf, _ = _tf(spark, sf)
+    return search.suggest_stored(idf, load(spark, sf, "crawl").agg(F.countDistinct("url").alias("n")), "an old ca")
+
+
+@R.add(f"""
+    SELECT word, CAST(doc_id AS VARCHAR) AS url, CAST(count(*) AS INTEGER) AS n_positions, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last FROM ({TOKENS_SQL}) GROUP BY word, doc_id""")
+def txt7_posting_parts(spark, sf):
+    posts = index.postings(index.tokenize(load(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+    texts = posts.select("word", txt.posting_text(F.col("doc_id").cast("string"), F.col("positions")).alias("posting"))
+    parts = texts.select("word", txt.posting_parts(F.col("posting")).alias("p"))
+    return parts.select("word", "p.url", F.size("p.positions").alias("n_positions"), F.array_min("p.positions").alias("first"), F.array_max("p.positions").alias("last"))
 
 
-_PAGES = "p AS (SELECT DISTINCT c.crawl_id, c.url, r.html FROM raw_pages r JOIN crawl c USING (crawl_id) WHERE r.html IS NOT NULL)"
+_PAGES = "p AS (SELECT crawl_id, c.url, r.html FROM (SELECT crawl_id, max(html) AS html FROM raw_pages WHERE html IS NOT NULL GROUP BY crawl_id) r JOIN (SELECT crawl_id, max(url) AS url FROM crawl GROUP BY crawl_id) c USING (crawl_id))"
 
 
 def _pages(spark, sf):
-    raw = load(spark, sf, "raw_pages").where("html is not null").dropDuplicates(["crawl_id"])
-    return raw.join(load(spark, sf, "crawl").select("crawl_id", "url").dropDuplicates(["crawl_id"]), "crawl_id")
+    raw = load(spark, sf, "raw_pages").where("html is not null").groupBy("crawl_id").agg(F.max("html").alias("html"))
+    return raw.join(load(spark, sf, "crawl").groupBy("crawl_id").agg(F.max("url").alias("url")), "crawl_id")
 
 
 _ELEMENTS = "regexp_replace(regexp_replace(regexp_replace({x}, '(?s)<style[^>]*>.*?</style>', '', 'g'), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<footer[^>]*>.*?</footer>', '', 'g')"
 _FINAL = "regexp_replace(" + _ELEMENTS + ", '(?s)<nav[^>]*>.*?</nav>', '', 'g')"
 _STRIP = "regexp_replace({x}, '<[^a]([^>]*)>', '', 'g')"
-_COLLAPSE = r"trim(regexp_replace(regexp_replace({x}, '\r\n?', chr(10), 'g'), '[ \t\n\f\r]{{2,}}', ' ', 'g'))"
+_COLLAPSE = r"regexp_replace(regexp_replace(regexp_replace({x}, '[\r\n]', chr(10), 'g'), '[ \t\n\x0B\f\r]{{2,}}', ' ', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
 
 
 @R.add(f"WITH {_PAGES} SELECT crawl_id, md5({_FINAL.format(x='html')}) AS digest FROM p")
@@ -177,9 +188,9 @@ def htm12_title(spark, sf):
 @R.add(r"""
     SELECT crawl_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') AS links FROM (
       SELECT crawl_id, list_filter(list_transform(string_split(page, chr(10)), lambda x: regexp_extract(x, 'href=["'']([^"'' ]*)["'']', 1)), lambda x: x <> '' AND NOT contains(x, '..')) AS l
-      FROM (SELECT DISTINCT crawl_id, page FROM crawl WHERE page IS NOT NULL))""")
+      FROM (SELECT crawl_id, max(page) AS page FROM crawl WHERE page IS NOT NULL GROUP BY crawl_id))""")
 def htm14_line_links(spark, sf):
-    pages = load(spark, sf, "crawl").where("page is not null").select("crawl_id", "page").distinct()
+    pages = load(spark, sf, "crawl").where("page is not null").groupBy("crawl_id").agg(F.max("page").alias("page"))
     return pages.select("crawl_id", F.array_join(h.line_links(F.col("page")), " ").alias("links"))
 
 
@@ -199,8 +210,38 @@ def crw7_clean_page_jobs(spark, sf):
     return cleaned.select(F.col("url").alias("crawl_id"), F.md5("page").alias("digest"), "cache_length")
 
 
-_LINKS = r"""
-    b AS (SELECT DISTINCT crawl_id, url, page FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL),
+_DISTINCT_PAGES = "b AS (SELECT url, page FROM (SELECT crawl_id, arg_max(url, md5(page)) AS url, arg_max(page, md5(page)) AS page FROM crawl WHERE page IS NOT NULL AND url IS NOT NULL GROUP BY crawl_id))"
+_HREFS = r"h AS (SELECT url AS src, unnest(regexp_extract_all(page, '(?i)<a\s+[^>]*href\s*=\s*\"([^\"]*)\"[^>]*>', 1)) AS href FROM b)".replace('\\"', '"')
+
+
+def _parts_sql(x: str, p: str) -> str:
+    """Scheme, host, port and path of the URL ``x`` as columns that begin with ``p``."""
+    has = f"(contains({x}, '//') AND NOT starts_with({x}, '//'))"
+    after = f"regexp_extract({x}, '(?s)^.*?.//(.*)$', 1)"
+    authority = f"regexp_extract({after}, '^([^/]*)', 1)"
+    return f"""CASE WHEN {has} THEN regexp_extract({x}, '(?s)^(.*?).//', 1) END AS {p}scheme,
+        CASE WHEN {has} THEN CASE WHEN regexp_matches({authority}, '^[^:]+:') THEN split_part({authority}, ':', 1) ELSE {authority} END END AS {p}host,
+        CASE WHEN {has} AND regexp_matches({authority}, '^[^:]+:') THEN regexp_extract({authority}, '^[^:]+:(.*)$', 1) END AS {p}port,
+        CASE WHEN NOT {has} THEN {x} WHEN contains({after}, '/') THEN regexp_extract({after}, '(?s)^[^/]*(/.*)$', 1) ELSE '/' END AS {p}path"""
+
+
+def _normalised_sql(source: str, own_fragment: str = "NULL") -> str:
+    """CTEs that end in ``links(src, dst)``: the links of ``source(src, href)`` by the reference form."""
+    return rf"""
+    q1 AS (SELECT src, href, {_parts_sql('href', 'o')}, {_parts_sql('src', 'r')} FROM {source}),
+    q2 AS (SELECT *, regexp_replace(opath, '(?s)#[^#]*$', '') AS p FROM q1),
+    q3 AS (SELECT *, list_filter(string_split(regexp_replace(rpath, '/+$', ''), '/')[:-2], lambda x: x <> '') AS base, list_filter(string_split(p, '/'), lambda x: x <> '') AS segs FROM q2),
+    q4 AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p ELSE list_reduce(segs, lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END,
+             list_aggregate(list_prepend('', base), 'string_agg', '/')) END AS path FROM q3),
+    q5 AS (SELECT *, CASE WHEN oscheme IS NULL THEN rscheme || '://' || rhost || ':' || rport || path
+             WHEN lower(oscheme) IN ('http', 'https') THEN oscheme || '://' || ohost || ':' || coalesce(oport, CASE WHEN lower(oscheme) = 'https' THEN '443' ELSE '80' END) || path END AS d FROM q4),
+    q6 AS (SELECT src, href, CASE WHEN starts_with(opath, '#') THEN {own_fragment}
+             WHEN NOT lower(regexp_extract(p, '(?s)[.]([^.]*)$', 1)) IN ('jpg', 'jpeg', 'gif', 'png', 'txt') AND NOT contains(d, 'null') THEN d END AS dst FROM q5),
+    links AS (SELECT src, dst FROM q6 WHERE dst IS NOT NULL)"""
+
+
+_LINKS = f"{_DISTINCT_PAGES}, {_HREFS}, {_normalised_sql('h')}"
+_STRICT_LINKS = r"""
     l AS (SELECT url AS src, regexp_replace(unnest(regexp_extract_all(page, '(?i)<a\s+[^>]*href\s*=\s*"([^"]*)"[^>]*>', 1)), '#.*$', '') AS href FROM b),
     u AS (SELECT src, CASE
             WHEN regexp_matches(href, '^https?://[^/:]+:[0-9]+/') THEN href
@@ -210,9 +251,14 @@ _LINKS = r"""
               AND NOT regexp_matches(lower(regexp_replace(dst0, '[?].*$', '')), '[.](jpg|jpeg|gif|png|txt)$'))"""
 
 
-def _links(spark, sf):
-    pages = load(spark, sf, "crawl").where("page is not null and url is not null").select("crawl_id", "url", "page").distinct()
-    return pages.select(F.col("url").alias("src"), F.explode(h.links(F.col("page"), F.col("url"))).alias("dst"))
+def _stored(spark, sf):
+    """``(crawl_id, url, page)``: each fetch with a page once, whatever copies of it there are; ids are grouped, not texts."""
+    pages = load(spark, sf, "crawl").where("page is not null and url is not null and crawl_id is not null")
+    return pages.groupBy("crawl_id").agg(F.max_by("url", F.md5("page")).alias("url"), F.max_by("page", F.md5("page")).alias("page"))
+
+
+def _links(spark, sf, **options):
+    return h.link_rows(_stored(spark, sf), "page", "url", **options)
 
 
 @R.add(f"WITH {_LINKS} SELECT src, dst FROM links")
@@ -220,12 +266,68 @@ def url2_normalised_links(spark, sf):
     return _links(spark, sf)
 
 
+@R.add(f"WITH {_DISTINCT_PAGES}, {_STRICT_LINKS} SELECT src, dst FROM links")
+def url2_strict_links(spark, sf):
+    return _links(spark, sf, strict=True)
+
+
+LINK_CASES = [
+    "/a/b.html", "c.html", "../up/d.html", "../../../far.html", "./e/./f", "g/", "//other.example/x", "mailto:someone@here.example", "javascript:open()",
+    "http://o.example/p", "https://o.example", "HTTPS://o.example/q#part", "ftp://o.example/r", "http://o.example:8080/a/../b", "#top", "s.html#one#two", "pic.JPG", "/t.txt?x=1.2", "/null/x", "",
+]
+CASE_BASES = ["https://h.example:443/dir/sub/base.html", "http://h.example:80/", "http://bare.example/dir/"]
+_CASES = "h AS (SELECT b AS src, l AS href FROM (SELECT unnest([" + ", ".join(f"'{x}'" for x in CASE_BASES) + "]) AS b), (SELECT unnest([" + ", ".join(f"'{x}'" for x in LINK_CASES) + "]) AS l))"
+
+
+def _cases(spark, fragment_is_self=False):
+    table = spark.createDataFrame([(b, x) for b in CASE_BASES for x in LINK_CASES], "src string, href string")
+    return table.select("src", "href", urls.normalise(F.col("href"), F.col("src"), fragment_is_self).alias("dst"))
+
+
+@R.add(f"WITH {_CASES}, {_normalised_sql('h')} SELECT src, href, dst FROM q6")
+def url2_link_cases(spark, sf):
+    return _cases(spark)
+
+
+@R.add(f"WITH {_CASES}, {_normalised_sql('h', 'src')} SELECT src, href, dst FROM q6")
+def url4_link_cases(spark, sf):
+    return _cases(spark, True)
+
+
+@R.add(f"WITH {_DISTINCT_PAGES}, {_HREFS}, {_normalised_sql('h', 'src')} SELECT src, dst FROM links")
+def url4_self_links(spark, sf):
+    return _links(spark, sf, fragment_is_self=True)
+
+
+@R.add(r"""WITH b AS (SELECT DISTINCT url, regexp_replace(url, '#.*$', '') AS u FROM results WHERE regexp_matches(url, '^[a-zA-Z]+://')),
+    p AS (SELECT url, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:]*)', 1)) AS h,
+          regexp_extract(u, '^[a-zA-Z]+://[^/:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[a-zA-Z]+://[^/]*(/.*)$', 1) AS path FROM b)
+    SELECT url, s || '://' || h || ':' || CASE WHEN port <> '' THEN port WHEN s = 'https' THEN '443' ELSE '80' END || CASE WHEN path = '' THEN '/' ELSE path END AS target,
+           'http://from.example:80' || CASE WHEN path = '' THEN '/' ELSE path END AS moved FROM p""")
+def url5_redirects(spark, sf):
+    rows = load(spark, sf, "results").where("url rlike '^[a-zA-Z]+://'").select("url").distinct()
+    base = F.lit("http://from.example:80/old/page.html")
+    path = F.coalesce(F.nullif(F.regexp_extract(F.regexp_replace("url", "#.*$", ""), "^[a-zA-Z]+://[^/]*(/.*)$", 1), F.lit("")), F.lit("/"))
+    return rows.select("url", urls.redirect(F.col("url"), base).alias("target"), urls.redirect(path, base).alias("moved"))
+
+
 @R.add(f"""WITH {_LINKS} SELECT src, dst FROM links WHERE length(dst) > 13 AND length(dst) < 150 AND NOT contains(dst, '..')
     AND starts_with(dst, 'http') AND length(dst) - length(replace(dst, 'http', '')) = 4""")
 def htm3_plausible_links(spark, sf):
-    pages = load(spark, sf, "crawl").where("page is not null and url is not null").select("crawl_id", "url", "page").distinct()
-    kept = h.plausible_links(h.links(F.col("page"), F.col("url")))
-    return pages.select(F.col("url").alias("src"), F.explode(kept).alias("dst"))
+    links = _links(spark, sf)
+    return links.where(F.size(h.plausible_links(F.array("dst"))) == 1)
+
+
+@R.add(r"""SELECT x, regexp_replace(regexp_replace(regexp_replace(x, '[\r\n]', chr(10), 'g'), '[ \t\n\x0B\f\r]{2,}', ' ', 'g'), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS collapsed
+    FROM (SELECT unnest(['a' || chr(13) || chr(10) || 'b', chr(10) || 'a', chr(9) || ' a ', 'a' || chr(10) || 'b', 'a' || chr(11) || chr(11) || 'b', '  ', '', 'a' || chr(13) || 'b' || chr(1)]) AS x)""")
+def htm6_cases(spark, sf):
+    texts = spark.createDataFrame([("a\r\nb",), ("\na",), ("\t a ",), ("a\nb",), ("a\x0b\x0bb",), ("  ",), ("",), ("a\rb\x01",)], "x string")
+    return texts.select("x", h.collapse(F.col("x")).alias("collapsed"))
+
+
+@R.add(f"WITH {_PAGES} SELECT crawl_id, md5(regexp_replace(html, '<a[.]*[.]+[.]+[.]*>', '', 'g')) AS digest FROM p")
+def htm4_dotted_anchors(spark, sf):
+    return _pages(spark, sf).select("crawl_id", F.md5(h.drop_dotted_anchors(F.col("html"))).alias("digest"))
 
 
 @R.add(f"WITH {_PAGES} SELECT crawl_id, md5({_COLLAPSE.format(x='html')}) AS digest FROM p")
@@ -233,9 +335,9 @@ def htm6_collapse(spark, sf):
     return _pages(spark, sf).select("crawl_id", F.md5(h.collapse(F.col("html"))).alias("digest"))
 
 
-@R.add("SELECT DISTINCT crawl_id, CAST(length(left(page, 40000)) AS INTEGER) AS cache_length, md5(left(page, 40000)) AS digest FROM crawl WHERE page IS NOT NULL")
+@R.add("SELECT crawl_id, CAST(length(left(page, 40000)) AS INTEGER) AS cache_length, md5(left(page, 40000)) AS digest FROM (SELECT crawl_id, max(page) AS page FROM crawl WHERE page IS NOT NULL GROUP BY crawl_id)")
 def htm7_truncate(spark, sf):
-    pages = load(spark, sf, "crawl").where("page is not null").select("crawl_id", h.truncate(F.col("page")).alias("page")).distinct()
+    pages = load(spark, sf, "crawl").where("page is not null").groupBy("crawl_id").agg(F.max("page").alias("page")).select("crawl_id", h.truncate(F.col("page")).alias("page"))
     return pages.select("crawl_id", F.length("page").alias("cache_length"), F.md5("page").alias("digest"))
 
 
@@ -246,12 +348,13 @@ def url1_parse(spark, sf):
     return load(spark, sf, "crawl").where("url is not null").select("url", p["scheme"].alias("scheme"), p["host"].alias("host"), p["port"].alias("port"), p["path"].alias("path")).distinct()
 
 
-@R.add(r"""WITH b AS (SELECT DISTINCT result_id, regexp_replace(url, '#.*$', '') AS u FROM results WHERE url IS NOT NULL),
-    p AS (SELECT result_id, lower(regexp_extract(u, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(u, '^[a-zA-Z]+://([^/:]*)', 1)) AS h,
-          regexp_extract(u, '^[a-zA-Z]+://[^/:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[a-zA-Z]+://[^/]*(/.*)$', 1) AS path FROM b WHERE regexp_matches(u, '^[a-zA-Z]+://'))
+@R.add(r"""WITH b AS (SELECT DISTINCT result_id, trim(regexp_replace(url, '#.*$', '')) AS w FROM results WHERE url IS NOT NULL),
+    f AS (SELECT result_id, CASE WHEN regexp_matches(w, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN w ELSE 'http://' || w END AS u FROM b),
+    p AS (SELECT result_id, lower(regexp_extract(u, '^([^:/?#]+)://', 1)) AS s, lower(regexp_extract(u, '^[^:/?#]+://([^/:]*)', 1)) AS h,
+          regexp_extract(u, '^[^:/?#]+://[^/:]*:([0-9]+)', 1) AS port, regexp_extract(u, '^[^:/?#]+://[^/:]*(:[0-9]*)?(.*)$', 2) AS path FROM f)
     SELECT result_id, s || '://' || h || ':' || CASE WHEN port <> '' THEN port WHEN s = 'https' THEN '443' ELSE '80' END || CASE WHEN path = '' THEN '/' ELSE path END AS url FROM p""")
 def url3_seed(spark, sf):
-    rows = load(spark, sf, "results").where("url is not null and url rlike '^[a-zA-Z]+://'").select("result_id", "url").distinct()
+    rows = load(spark, sf, "results").where("url is not null").select("result_id", "url").distinct()
     return rows.select("result_id", urls.seed(F.col("url")).alias("url"))
 
 
@@ -310,17 +413,37 @@ def _decorated(spark, sf):
     return search.decorate(found, newest, " ".join(WORDS))
 
 
-@R.add()
+_PARAGRAPHS = r"""list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')))"""
+_TITLE = r"""coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[^\x00-\x7F]', '', 'g')), ''), regexp_replace(url, '^[a-z]+://([^/:]+)(:[0-9]+)?', '\1'))"""
+_DECORATED = _SEARCH.format(prior="sqrt(1 + coalesce(rank, 0))") + rf""", {_PAGES},
+    w AS (SELECT url, arg_max(html, crawl_id) AS html FROM p GROUP BY url),
+    d AS (SELECT position, o.url, score, coalesce(html, '') AS body, {_TITLE.replace("url,", "o.url,").replace("(html", "(html")} AS title FROM o LEFT JOIN w USING (url) WHERE position <= 10),
+    y AS (SELECT *, {_PARAGRAPHS.replace("html", "body")} AS t FROM d),
+    v AS (SELECT *, list_transform([{WORD_LIST}], lambda w: list_position(list_transform(t, lambda x: contains(lower(x), w)), true)) AS v FROM y),
+    k AS (SELECT *, list_transform(range(1, greatest(len(t), 1) + 1), lambda i: len(list_filter(v, lambda x: x = i))) AS n FROM v),
+    res AS (SELECT position, url, score, title, regexp_replace(coalesce(t[list_position(n, list_max(n))], ''), '[^\x00-\x7F]', '', 'g') AS description FROM k)"""
+
+
+@R.add(_DECORATED + " SELECT position, url, score, title, description FROM res")
 def res1_results(spark, sf):
     return _decorated(spark, sf)
 
 
-@R.add()
+@R.add(_DECORATED + """ SELECT '{"results":[' || coalesce(string_agg('{"url":' || to_json(url) || ',"title":' || to_json(title) || ',"description":' || to_json(description) || '}', ',' ORDER BY position), '') || ']}' AS json FROM res""")
 def jsn1_results_json(spark, sf):
     return search.results_json(_decorated(spark, sf))
 
 
-_PARAGRAPHS = r"""list_transform(regexp_extract_all(html, '(?is)<p(?:\s[^>]*)?>(.*?)</p>', 1), lambda x: trim(regexp_replace(x, '<[^>]*>', '', 'g')))"""
+@R.add(f"WITH {_GRAPH}, m AS (SELECT src AS url FROM e) SELECT count(DISTINCT url) AS n_ranked, true AS settled FROM m")
+def prk1_fixed_point(spark, sf):
+    """Whether the converged ranks stay as they are, within the tolerance, for one more round on the whole graph."""
+    edges = materialize(_purchases(spark, sf))
+    ranks = materialize(pagerank.pagerank(edges, tolerance=1e-4))
+    fan_out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("links"))
+    given = edges.join(fan_out, "src").join(ranks.withColumnRenamed("url", "src"), "src").groupBy("dst").agg(F.sum(0.85 * F.col("rank") / F.col("links")).alias("s"))
+    both = ranks.join(given.withColumnRenamed("dst", "url"), "url", "left")
+    change = F.max(F.abs(F.coalesce("s", F.lit(0.0)) + 0.15 - F.col("rank")))
+    return both.agg(F.count(F.lit(1)).alias("n_ranked"), (change < 1e-4).alias("settled"))
 
 
 @R.add(rf"""WITH {_PAGES}, t AS (SELECT crawl_id, {_PARAGRAPHS} AS t FROM p),
@@ -332,11 +455,13 @@ def htm13_description(spark, sf):
     return _pages(spark, sf).select("crawl_id", h.description(F.col("html"), words).alias("description"))
 
 
-_LATEST_HOSTS = "lh AS (SELECT host, arg_max(robots, last_access) AS robots FROM hosts WHERE host IS NOT NULL AND robots IS NOT NULL AND last_access IS NOT NULL GROUP BY host)"
+_LATEST_HOSTS = "lh AS (SELECT host, arg_max(robots, row(coalesce(epoch_us(last_access), 0), robots)) AS robots FROM hosts WHERE host IS NOT NULL AND robots IS NOT NULL GROUP BY host)"
 
 
 def _rules(spark, sf):
-    latest = load(spark, sf, "hosts").where("host is not null and robots is not null and last_access is not null").groupBy("host").agg(F.max_by("robots", "last_access").alias("robots"))
+    known = load(spark, sf, "hosts").where("host is not null and robots is not null")
+    time = F.coalesce(F.unix_micros(F.col("last_access").cast("timestamp")), F.lit(0))
+    latest = known.groupBy("host").agg(F.max_by("robots", F.struct(time, "robots")).alias("robots"))
     return crawl.robots_rules(latest)
 
 
@@ -380,7 +505,14 @@ def crw5_rate_schedule(spark, sf):
     return due.select("host", "url", F.unix_micros("due").alias("due_us"))
 
 
-@R.add()
+def _capped(k: int) -> str:
+    return f""",
+    g{k} AS (SELECT (SELECT count(*) FROM v{k - 1}) <= 500 AND (SELECT count(*) FROM l{k - 1}) <= 1000 AS go),
+    l{k} AS (SELECT DISTINCT e.dst AS url, {k} AS depth FROM l{k - 1} JOIN e ON e.src = l{k - 1}.url, g{k} WHERE go AND e.dst NOT IN (SELECT url FROM v{k - 1})),
+    v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM l{k})"""
+
+
+@R.add(f"WITH {_GRAPH}, l0 AS (SELECT min(src) AS url, 0 AS depth FROM e), v0 AS (SELECT * FROM l0){''.join(map(_capped, range(1, 6)))} SELECT url, CAST(depth AS INTEGER) AS depth FROM v5")
 def crw2_frontier_cap(spark, sf):
     edges = materialize(_purchases(spark, sf))
     return crawl.frontier(edges.agg(F.min("src").alias("url")), edges, 5, cap=500, back_pressure=1000)

@@ -73,9 +73,34 @@ def decode(df: DataFrame, column: str = "line") -> DataFrame:
     return df.select(column).mapInPandas(run, CELLS)
 
 
+def write_table(df: DataFrame, key: str, folder: str, name: str) -> None:
+    """``df`` as files ``<name>.table`` of the row format, one for each partition in a folder of its own below ``folder`` (SNK5)."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(folder)
+    local = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme() == "file"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        data = b"".join(bytes(x) for b in batches for x in b.column("line").to_pylist())
+        files, path = (fs.LocalFileSystem(), folder.removeprefix("file:")) if local else fs.FileSystem.from_uri(folder)
+        if data:
+            part = f"{path}/{uuid.uuid4().hex}"
+            files.create_dir(part, recursive=True)
+            with files.open_output_stream(f"{part}/{name}.table") as out:
+                out.write(data)
+        yield pa.RecordBatch.from_arrays([pa.array([len(data)], pa.int64())], names=["n"])
+
+    encode(df, key).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+
+
 def read_tables(spark: SparkSession, path: str) -> DataFrame:
     """``(table, key, column, value)`` of all ``*.table`` files under ``path``; of several versions of a row the last holds (SRC9)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.table").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.table").option("recursiveFileLookup", "true").load(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
