@@ -54,6 +54,15 @@ def test_chain_of_a_record_reaches_its_short_and_glued_words(spark, model, read_
     assert "музей" in model.judge(glued)[0]
 
 
+def test_escaped_garbled_words_are_found_and_right_references_are_not(spark, model):
+    garbled = "théâtre été".encode().decode("cp1252")
+    escaped = "".join(f"&#{ord(c)};" if c > "\x7f" else c for c in garbled)
+    right = "Le th&eacute;&acirc;tre de la for&#234;t & autres &amp; plus"
+    df = spark.createDataFrame([(1, escaped), (2, right), (3, "plain & text"), (4, "&#195;&#169; &lt;b&gt;")], "id int, text string")
+    found = {r.id: r.restored for r in mojibake.find_garbled(df, ["id"], "text", model, restore=True).collect()}
+    assert found == {1: "théâtre été", 4: "é &lt;b&gt;"}
+
+
 def test_garbled_search_on_empty_and_long_texts(spark, model):
     df = spark.createDataFrame([(1, ENGLISH * 5000 + " thÃ©Ã¢tre")], "id int, text string")
     assert rows(mojibake.find_garbled(df, ["id"], "text", model), "id", "n_words") == [(1, 1)]

@@ -20,7 +20,10 @@ ANCHOR = re.compile(r"<a(?:\s[^>\n]*)?>", re.I)
 ANY_TAG = re.compile(r"<[^>\n]*>")
 STRIP = ".,;:!?()"
 SIGNS = "|·>©:?"
-SLICE_CHARS = 1 << 19
+SIGN_KINDS = np.zeros(256, np.int64)
+for _k, _c in enumerate(SIGNS):
+    SIGN_KINDS[ord(_c)] = _k + 1
+SLICE_CHARS = 1 << 16
 SHORT = 14
 #: The last bits of a name's key tell its kind.
 KINDS = 16
@@ -91,6 +94,7 @@ class Lines:
         self.solid = solid
         breaks = np.zeros(n + 1, np.int64)
         np.cumsum(codes == 10, out=breaks[1:])
+        self.breaks = breaks
         self.line = breaks[self.starts]
         self.H = prefix_hash(codes)
         self.inverse = powers(INVERSE, n + 1)
@@ -127,11 +131,10 @@ class Lines:
         add(1, full, np.where(n < 12, n, 12 + np.minimum(n // 10, 8)))
         add(2, full, codes[e[last] - 1])
         add(3, full, np.minimum(np.bincount(line[self.marks], minlength=self.n_lines)[full], 3))
-        in_line = np.searchsorted(np.flatnonzero(codes == 10), np.arange(len(codes))) if any(map("".join(map(chr, np.unique(codes).tolist())).__contains__, SIGNS)) else None
-        if in_line is not None:
-            for i, c in enumerate(SIGNS):
-                held = np.unique(in_line[codes == ord(c)])
-                add(4, held, np.full(len(held), i))
+        kinds = SIGN_KINDS[np.minimum(codes, len(SIGN_KINDS) - 1)]
+        signs = np.flatnonzero(kinds)
+        held = np.unique(self.breaks[signs] * 16 + kinds[signs])
+        add(4, held // 16, held % 16)
         add(5, full, word[first])
         add(6, full, word[last])
         place = np.arange(len(s)) - self.first_word[line]

@@ -12,6 +12,7 @@ Counts cover all clean records; they are kept in a table of ``TABLE`` slots, so
 
 from __future__ import annotations
 
+import html
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -203,32 +204,43 @@ class CharModel:
         """``(line, word, reading, kind)`` of every word of ``text`` that is garbled.
 
         Single-byte chains accepted for words of the record are then tried on all its other words. In lines where the chain was
-        accepted the likelier reading is taken, in other lines it has to beat the chain's margin.
+        accepted the likelier reading is taken, in other lines it has to beat the chain's margin. Character references
+        (``&#195;&#169;``) are read as the characters they stand for, so a wrong decoding that was escaped later is one too.
         """
-        if not text or text.isascii():
+        if not text or text.isascii() and "&" not in text:
             return []
         out, rest, chains = [], [], {}
         for number, line in enumerate(text.split("\n")):
-            for w in _words(line):
+            for raw, w in _stored_words(line):
                 other, kind = self.judge(w)
                 if kind in _CROSS:
                     chains.setdefault(kind, Counter())[number] += 1
                 if kind and kind != "lost":
-                    out.append((number, w, other, kind))
+                    out.append((number, raw, other, kind))
                 else:
-                    rest.append((number, w, kind))
-        for number, w, lost in rest:
-            top = (0.0, w, lost)
+                    rest.append((number, raw, w, kind))
+        for number, raw, w, lost in rest:
+            top = (0.0, raw, lost)
             for kind, lines in chains.items():
                 if (other := crossed(w, kind)) is not None:
                     gain = self.gain(w, other, kind) - (0.0 if number in lines else self.margins.get(kind, 0.0))
                     if gain > top[0]:
                         top = (gain, other, kind)
             if top[2]:
-                out.append((number, w, *top[1:]))
+                out.append((number, raw, *top[1:]))
         return out
 
 
+def _stored_words(line: str) -> Iterator[tuple[str, str]]:
+    """``(stored, meant)``: the words of a line that hold characters beyond ASCII, as such or as character references."""
+    if line.isascii() and "&" not in line:
+        return
+    for raw in SPLIT.split(line):
+        w = html.unescape(raw) if "&" in raw else raw
+        if not w.isascii():
+            yield raw, w
+
+
 def _words(text: str | None) -> Iterator[str]:
     if text and not text.isascii():
         for line in text.split("\n"):
