@@ -30,6 +30,8 @@ CACHE = 200_000
 MIN_SINGLE_BYTE = 3
 QUANTILE = 0.999
 OUTLIER = 6.0
+#: How much a word read under a single-byte chain speaks for reading the other words of its line likewise.
+LINE_ODDS = 2.0
 #: Character sets whose bytes UTF-8 text is wrongly read as, and single-byte sets taken for one another.
 UTF8_READ_AS = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850", "cp1250", "koi8_r", "cp866", "iso8859_15")
 SINGLE_BYTE = ("cp1251", "koi8_r", "cp866", "mac_cyrillic")
@@ -38,6 +40,9 @@ PLAIN = ("cp1252", "mac_roman", "cp437", "cp1251")
 LOST = re.compile("[�\u0080-\u0084\u0086-\u009f]")
 #: Latin, Greek and Cyrillic letters, common marks, and the characters of Chinese, Japanese and Korean.
 COMMON = re.compile("[\u00a1-\u017f\u0370-\u03ff\u0400-\u045f\u2010-\u22ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af]")
+#: Characters beyond these and below the pictographs come of bytes that make UTF-8 by chance, unless several of them stand together.
+RARE = re.compile("[^\x00-\u017f\u0370-\u03ff\u0400-\u045f\u2010-\u22ff\u3040-\u30ff\u4e00-\u9fff\uac00-\ud7af\ufe0f\U0001f000-\U0001ffff]")
+RARE_TOGETHER = 3
 SPLIT = re.compile("[ \t\r\n]+")
 #: Whole tags, the end of one before a word and the beginning of one after it.
 TAGS = re.compile(r"^[^<>]*>|<[^<>]*(?:>|$)")
@@ -98,7 +103,7 @@ def readings(word: str) -> dict[str, str]:
         for text, kind in level.items():
             for name in UTF8_READ_AS:
                 other = from_utf8(text, name)
-                if other != text and other != word and other not in found:
+                if other != text and other != word and other not in found and not 0 < len(RARE.findall(other)) < RARE_TOGETHER:
                     nxt.setdefault(other, kind or f"utf-8>{name}")
         found |= nxt
         level = nxt
@@ -203,8 +208,8 @@ class CharModel:
     def judge_record(self, text: str | None) -> list[tuple[int, str, str, str]]:
         """``(line, word, reading, kind)`` of every word of ``text`` that is garbled.
 
-        Single-byte chains accepted for words of the record are then tried on all its other words. In lines where the chain was
-        accepted the likelier reading is taken, in other lines it has to beat the chain's margin. Character references
+        Single-byte chains accepted for words of the record are then tried on all its other words. In a line every word for which the
+        chain was accepted speaks for it, by ``LINE_ODDS``; in other lines it has to beat the chain's margin. Character references
         (``&#195;&#169;``) are read as the characters they stand for, so a wrong decoding that was escaped later is one too.
         """
         if not text or text.isascii() and "&" not in text:
@@ -223,7 +228,7 @@ class CharModel:
             top = (0.0, raw, lost)
             for kind, lines in chains.items():
                 if (other := crossed(w, kind)) is not None:
-                    gain = self.gain(w, other, kind) - (0.0 if number in lines else self.margins.get(kind, 0.0))
+                    gain = self.gain(w, other, kind) + (LINE_ODDS * lines[number] if number in lines else -self.margins.get(kind, 0.0))
                     if gain > top[0]:
                         top = (gain, other, kind)
             if top[2]:
