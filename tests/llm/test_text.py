@@ -56,7 +56,7 @@ def test_chain_of_a_record_reaches_its_short_and_glued_words(spark, model, read_
 
 @pytest.mark.parametrize(("read_as", "written"), [("cp1252", "cp1251"), ("koi8_r", "cp1251"), ("cp1251", "koi8_r"), ("cp1251", "cp866")])
 def test_single_letters_and_chance_utf8_of_a_garbled_line_are_restored(spark, model, read_as, written):
-    text = "Мы видели старый музей, а письма ведут туда каждое лето\nСегодня старый музей снова открыт"
+    text = "Сегодня старый музей снова открыт и письма ведут туда, а лето каждое\nСегодня старый музей снова открыт"
     df = spark.createDataFrame([(1, text.encode(written).decode(read_as, "ignore"))], "id int, text string")
     assert mojibake.find_garbled(df, ["id"], "text", model, restore=True).first().restored == text
     assert "ޖ" not in mojibake.readings("Ìû")
