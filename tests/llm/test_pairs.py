@@ -127,13 +127,19 @@ def test_spans_equal_brute_force(spark, length):
     df = spark.createDataFrame([(i, t, "k", 0) for i, t in texts.items()], "doc long, body string, key string, start int")
     windows, members = spans.shared_windows(df, "doc", "body", length)
     pairs, covered = brute_spans(texts, length)
-    assert {(r.doc_a, r.doc_b) for r in spans.shared_pairs(windows, members, length).collect()} == pairs
+    assert {(r.doc_a, r.doc_b) for r in spans.shared_pairs(spans.representative_pairs(windows, df, "doc", "body", length), members, length).collect()} == pairs
     assert {r.doc_id: r.shared_chars for r in spans.shared_share(windows, members, length).collect()} == covered
 
 
+def test_windows_of_equal_hash_but_other_text_make_no_pair(spark):
+    texts = spark.createDataFrame([(1, "a" * 30 + "b"), (2, "c" * 40), (3, "x" + "a" * 30)], "doc long, body string")
+    windows = spark.createDataFrame([(7, 1, 0), (7, 2, 3), (7, 3, 1)], "key long, id long, start int")
+    assert rows(spans.representative_pairs(windows, texts, "doc", "body", 20)) == [(1, 3)]
+
+
 def test_spans_of_an_empty_table(spark):
     df = spark.createDataFrame([], "doc long, body string")
     windows, members = spans.shared_windows(df, "doc", "body", 20)
-    assert rows(spans.shared_pairs(windows, members, 20)) == [] == rows(spans.shared_share(windows, members, 20))
+    assert rows(spans.shared_pairs(spans.representative_pairs(windows, df, "doc", "body", 20), members, 20)) == [] == rows(spans.shared_share(windows, members, 20))
     with pytest.raises(ValueError):
         spans.shared_windows(df, "doc", "body", 3)

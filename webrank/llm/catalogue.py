@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webrank.llm import mixing, mojibake, neardup, packing, pages, ranking, residuals, spans, tokens
@@ -51,6 +51,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return page.select(F.lit("page").alias("field"), "id_a", "id_b").unionByName(url.select(F.lit("url").alias("field"), "id_a", "id_b"))
 
 
+def p2_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The form without copies: pairs of different pages and of different URLs, each named by the least id that has it."""
+    pages_, _ = neardup.representative_pairs(load(spark, sf, "crawl"), "crawl_id", "page", PAGE_PLAN)
+    urls, _ = neardup.representative_pairs(load(spark, sf, "results"), "result_id", "url", URL_PLAN)
+    return pages_.select(F.lit("page").alias("field"), "id_a", "id_b").unionByName(urls.select(F.lit("url").alias("field"), "id_a", "id_b"))
+
+
+def p2_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The name of each page's and URL's text, by which :func:`p2_representatives` has it."""
+    pages_ = neardup.members(neardup.records(load(spark, sf, "crawl"), "crawl_id", "page"))
+    urls = neardup.members(neardup.records(load(spark, sf, "results"), "result_id", "url"))
+    return pages_.select(F.lit("page").alias("field"), "id", "rep").unionByName(urls.select(F.lit("url").alias("field"), "id", "rep"))
+
+
 def p2_page_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Group and number of links of every fetch with a page."""
     return neardup.near_duplicates(load(spark, sf, "crawl"), "crawl_id", "page", PAGE_PLAN)
@@ -131,6 +145,36 @@ def p8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_containers(sizes, "doc_id", "n_tokens", _containers(spark, sf))
 
 
+def p8_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """For each container: tokens laid in, texts, texts without a gap or overlap, the fullest bin's room and texts split without need."""
+    packed = materialize(p8_packing(spark, sf))
+    kinds = ["container", "capacity"]
+    order = Window.partitionBy(*kinds, "doc_id").orderBy("piece")
+    pieces = packed.withColumn("after", F.coalesce(F.lag(F.col("start_token") + F.col("n_tokens")).over(order), F.lit(0)))
+    each = pieces.groupBy(*kinds, "doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("k"), F.min(F.col("after") == F.col("start_token")).alias("whole"))
+    texts = each.groupBy(*kinds).agg(
+        F.sum("n").alias("n_tokens"), F.count(F.lit(1)).alias("n_texts"), F.sum(F.col("whole").cast("bigint")).alias("n_whole"),
+        F.sum(((F.col("k") > 1) & (F.col("n") <= F.col("capacity"))).cast("bigint")).alias("n_split_without_need"),
+    )
+    bins = packed.groupBy(*kinds, "bin").agg(F.sum("n_tokens").alias("n")).groupBy(*kinds).agg(
+        F.count(F.lit(1)).alias("n_bins"), F.sum((F.col("n") > F.col("capacity")).cast("bigint")).alias("n_overfull"), F.sum("n").alias("filled")
+    )
+    fill = F.round(F.col("filled") / (F.col("n_bins") * F.col("capacity")), 4)
+    return texts.join(bins, kinds).select(*kinds, "n_tokens", "n_texts", "n_whole", "n_split_without_need", "n_bins", "n_overfull", fill.alias("fill"))
+
+
+def p9_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """For each source: whether its records are used at most as often as allowed, its budget is met to within its greatest
+    record, and the greatest difference of its share from the target where it has the tokens for it."""
+    choice, shares = _mix(spark, sf)
+    used = choice.groupBy("source").agg(F.max("repeats").alias("most"), F.max("n_tokens").alias("greatest"), F.count(F.lit(1)).alias("n_records"))
+    off = F.abs(F.col("tokens") - F.col("budget")) <= F.coalesce("greatest", F.lit(0))
+    return shares.join(used, "source", "left").select(
+        "source", F.coalesce("n_records", F.lit(0)).alias("n_records"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"),
+        off.alias("budget_met"), F.round(F.abs(F.col("share") - F.col("target_share")), 4).alias("off_target"),
+    )
+
+
 def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = load(spark, sf, "documents").select("doc_id", "source", "lang", "text")
     return mixing.mix_sources(tokens.token_sizes(docs, ["doc_id", "source", "lang"], "text"), load(spark, sf, "mix_targets"))
@@ -146,10 +190,25 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf)[1]
 
 
+def _spans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    windows, members = spans.shared_windows(docs, "doc_id", "text", SPAN)
+    return spans.representative_pairs(windows, docs, "doc_id", "text", SPAN), members
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of documents that share a passage of at least 200 characters."""
-    windows, members = spans.shared_windows(load(spark, sf, "documents"), "doc_id", "text", SPAN)
-    return spans.shared_pairs(windows, members, SPAN)
+    return spans.shared_pairs(*_spans(spark, sf), SPAN)
+
+
+def p10_representatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The form without copies: pairs of different texts, each named by the least id that has it."""
+    return _spans(spark, sf)[0]
+
+
+def p10_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The name of each document's text, by which :func:`p10_representatives` has it."""
+    return spans.classes(load(spark, sf, "documents"), "doc_id", "text")[1].select("id", "rep")
 
 
 def p10_shares(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,6 +237,11 @@ _MARGINS = """
     m AS (SELECT url, word, o, rt, tt, tn, n, g, rt * tt / g AS e FROM d JOIN u USING (url) JOIN w USING (word), g)
 """
 SQL = {
+    "p2_members": """
+        SELECT 'page' AS field, crawl_id AS id, min(crawl_id) OVER (PARTITION BY md5(page)) AS rep FROM (SELECT DISTINCT crawl_id, page FROM crawl WHERE crawl_id IS NOT NULL AND page IS NOT NULL)
+        UNION ALL
+        SELECT 'url', result_id, min(result_id) OVER (PARTITION BY md5(url)) FROM (SELECT DISTINCT result_id, url FROM results WHERE result_id IS NOT NULL AND url IS NOT NULL)""",
+    "p10_members": "SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY md5(text)) AS rep FROM (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)",
     "p6_found": _SCORED + "SELECT word, url FROM o WHERE position <= 5",
     "p6_ranking": _SCORED + "SELECT word, url, points, position FROM o",
     "p7_found": _MARGINS + "SELECT url, word FROM m WHERE tn >= 3 AND o / rt * (ln(n / tn) / ln(n)) >= 0.06",
@@ -189,7 +253,7 @@ SQL = {
 
 def queries() -> dict[str, Query]:
     """All queries of the subpackage by name."""
-    functions = [p1_found, p1_main_text, p2_found, p2_page_groups, p3_found, p3_restored, p4_found, p4_scores, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p9_mix, p9_shares, p10_found, p10_shares]
+    functions = [p1_found, p1_main_text, p2_found, p2_page_groups, p2_representatives, p2_members, p3_found, p3_restored, p4_found, p4_scores, p6_found, p6_ranking, p7_found, p7_residuals, p8_packing, p8_checks, p9_mix, p9_shares, p9_checks, p10_found, p10_representatives, p10_members, p10_shares]
     return {f.__name__: f for f in functions}
 
 

@@ -44,9 +44,11 @@ class Plan:
 
 
 def miss_probability(plan: Plan) -> float:
-    """Probability that two sets exactly at ``similarity`` agree in fewer than ``agree`` partitions."""
-    p = plan.similarity**plan.width
-    return sum(math.comb(plan.partitions, i) * p**i * (1 - p) ** (plan.partitions - i) for i in range(plan.agree))
+    """Probability that two sets exactly at ``similarity`` are missed: they agree in fewer than ``agree`` partitions, or
+    their one-bit minhashes are further apart than :func:`max_hamming`."""
+    p, q, far = plan.similarity**plan.width, (1 - plan.similarity) / 2, max_hamming(plan)
+    few = sum(math.comb(plan.partitions, i) * p**i * (1 - p) ** (plan.partitions - i) for i in range(plan.agree))
+    return few + sum(math.comb(SIGNATURE_BITS, i) * q**i * (1 - q) ** (SIGNATURE_BITS - i) for i in range(far + 1, SIGNATURE_BITS + 1))
 
 
 def max_hamming(plan: Plan, deviations: float = 4.5) -> int:
@@ -170,15 +172,18 @@ def representative_pairs(df: DataFrame, id_col: str, text_col: str, plan: Plan)
     )
     met = materialize(met)
     ids = met.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
-    texts = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+    texts = rows.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
     left = texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b"))
     both = met.join(left, "id_a").join(right, "id_b").select("id_a", "id_b", "text_a", "text_b")
     pairs = both.mapInArrow(_verified(plan), "id_a bigint, id_b bigint, common bigint, union bigint")
-    slim = rows.select("id", "fp")
-    names = slim.groupBy("fp").agg(F.min("id").alias("rep"))
-    members = slim.distinct().join(names, "fp").select("id", "rep")
-    return pairs, members
+    return pairs, members(rows)
+
+
+def members(rows: DataFrame) -> DataFrame:
+    """``(id, rep)`` of :func:`records`: the least id of the records with the same text."""
+    slim = rows.select("id", "fp").distinct()
+    return slim.join(slim.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep")
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -197,8 +202,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan
     Groups are connected components of the similarity graph, found by label propagation over the representatives with
     pointer jumping; a record linked to none is its own group. ``n_links`` counts linked texts, not their copies.
     """
-    pairs, members = representative_pairs(df, id_col, text_col, plan)
-    pairs, members = materialize(pairs.select("id_a", "id_b")), materialize(members)
+    pairs, named = representative_pairs(df, id_col, text_col, plan)
+    pairs, named = materialize(pairs.select("id_a", "id_b")), materialize(named)
     edges = pairs.unionByName(pairs.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
     degree = edges.groupBy("id_a").agg(F.count(F.lit(1)).alias("n_links")).withColumnRenamed("id_a", "rep")
     labels = degree.select("rep", F.col("rep").alias("label"))
@@ -211,5 +216,5 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, plan: Plan = Plan
         step = materialize(step)
         changed = step.where("new < label").limit(1).count()
         labels = step.select("rep", F.col("new").alias("label"))
-    out = members.join(labels, "rep", "left").join(degree, "rep", "left")
+    out = named.join(labels, "rep", "left").join(degree, "rep", "left")
     return out.select("id", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -4,7 +4,8 @@ Windows of a quarter of the wanted length are sampled so that every span of the
 window, chosen by its content alone (the least hash among the span's windows). Windows whose hash occurs in one record
 alone are dropped; what can still lie in a shared span around the others is extended to windows of twice the length, and
 again, until the full length is reached, where every remaining start is tested. A span shared by two records keeps its
-windows at every level, so none is lost; a hash of 64 bits stands for a window of text.
+windows at every level, so none is lost; a hash of 64 bits stands for a window of text until pairs are compared by their texts. Of an
+id delivered with different texts, the greatest counts.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def classes(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
     rows = df.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")
     )
-    slim = rows.select("id", F.md5("text").alias("fp"), F.length("text").alias("n")).distinct()
+    slim = rows.groupBy("id").agg(F.max(F.struct(F.md5("text").alias("fp"), F.length("text").alias("n"))).alias("x")).select("id", "x.*")
     names = slim.groupBy("fp").agg(F.min("id").alias("rep"))
     return rows, materialize(slim.join(names, "fp").select("id", "rep", "n"))
 
@@ -99,22 +100,43 @@ def shared_windows(df: DataFrame, id_col: str, text_col: str, length: int = 200)
     found = materialize(_repeated(materialize(texts.mapInArrow(_windows(sizes[0], length), schema).join(copies, "id", "left_anti"))))
     for size in sizes[1:]:
         places = found.groupBy("id").agg(F.collect_set("start").alias("starts"))
-        again = texts.join(places, "id").groupBy("id").agg(F.first("text").alias("text"), F.first("starts").alias("starts"))
+        again = texts.join(places, "id").groupBy("id").agg(F.max("text").alias("text"), F.first("starts").alias("starts"))  # one set of starts an id
         found = materialize(_repeated(materialize(again.mapInArrow(_windows(size, length), schema))))
     return found, members
 
 
-def shared_pairs(windows: DataFrame, members: DataFrame, length: int) -> DataFrame:
-    """``(doc_a, doc_b)``, ``doc_a < doc_b``: all records that share a window, copies included."""
-    sets = windows.select("key", "id").distinct().groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.count(F.lit(1)).alias("n"))
-    keys = sets.groupBy("s", "n").agg(F.min("key").alias("key")).select("key")
-    held = windows.select("key", "id").distinct().join(keys, "key")
-    pairs = held.alias("a").join(held.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("ra"), F.col("b.id").alias("rb")).distinct()
+def representative_pairs(windows: DataFrame, df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
+    """``(doc_a, doc_b)``, ``doc_a < doc_b``: all different texts that share a window, each named by its class.
+
+    A hash only proposes a pair: the windows of least and greatest hash that two texts have in common are cut from the
+    texts of ``df`` and compared, and one of them must be equal.
+    """
+    ids = F.xxhash64(F.lit(1), "id").cast("decimal(38,0)"), F.xxhash64(F.lit(2), "id").cast("decimal(38,0)")
+    held = materialize(windows.groupBy("key", "id").agg(F.min("start").alias("start")))
+    # of windows with the same records, told by two hash sums, one stands for all
+    sets = held.groupBy("key").agg(F.sum(ids[0]).alias("s"), F.sum(ids[1]).alias("t"), F.count(F.lit(1)).alias("n"))
+    keys = sets.groupBy("s", "t", "n").agg(F.min("key").alias("key")).select("key")
+    held = held.join(keys, "key")
+    met = held.alias("a").join(held.alias("b"), "key").where("a.id < b.id")
+    place = F.struct("key", F.col("a.start").alias("sa"), F.col("b.start").alias("sb"))
+    pairs = met.groupBy(F.col("a.id").alias("doc_a"), F.col("b.id").alias("doc_b")).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    pairs = materialize(pairs)
+    sides = [F.struct(F.col(f"doc_{x}").alias("id"), F.lit(w).alias("w"), F.col(f"{w}.s{x}").alias("start")) for x in "ab" for w in ("lo", "hi")]
+    cuts = pairs.select("doc_a", "doc_b", F.inline(F.array(*sides)))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = texts.join(cuts.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    pieces = cuts.join(texts, "id").select("doc_a", "doc_b", "w", F.expr(f"substring(text, start + 1, {length})").alias("piece"))
+    equal = pieces.groupBy("doc_a", "doc_b", "w").agg((F.min("piece") == F.max("piece")).alias("equal"))
+    return equal.where("equal").select("doc_a", "doc_b").distinct()
+
+
+def shared_pairs(pairs: DataFrame, members: DataFrame, length: int) -> DataFrame:
+    """``(doc_a, doc_b)``, ``doc_a < doc_b``: all records that share a window, from :func:`representative_pairs`, copies included."""
     long = members.where(F.col("n") >= length)
-    a = long.select(F.col("id").alias("x"), F.col("rep").alias("ra"))
-    b = long.select(F.col("id").alias("y"), F.col("rep").alias("rb"))
-    across = pairs.join(a, "ra").join(b, "rb").select("x", "y")
-    copies = a.join(b, a["ra"] == b["rb"]).where("x < y").select("x", "y")
+    a = long.select(F.col("id").alias("x"), F.col("rep").alias("doc_a"))
+    b = long.select(F.col("id").alias("y"), F.col("rep").alias("doc_b"))
+    across = pairs.join(a, "doc_a").join(b, "doc_b").select("x", "y")
+    copies = a.join(b, a["doc_a"] == b["doc_b"]).where("x < y").select("x", "y")
     both = across.unionByName(copies)
     return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
