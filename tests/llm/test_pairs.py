@@ -73,8 +73,9 @@ def test_pairs_equal_brute_force_with_nulls_copies_and_clashing_columns(spark):
     assert {i: g for i, (g, _) in groups.items()} == {i: root(i) for i in groups}
 
 
-def test_hot_partition_values_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "HOT_KEY", 2)
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_frequent_values_lose_no_pair(spark, monkeypatch, share):
+    monkeypatch.setattr(neardup, "FREQUENT_SHARE", share)
     shared = " ".join(f"menu{i}" for i in range(40))
     texts = {i: f"{shared} " + " ".join(f"u{i}x{j}" for j in range(30)) for i in range(40)}
     texts |= {100 + i: texts[i] + " one more" for i in range(5)}
@@ -84,6 +85,40 @@ def test_hot_partition_values_lose_no_pair(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in neardup.all_pairs(pairs, members).collect()} == jaccard_pairs(texts, 3, 0.6)
 
 
+def outcome(cells, ends):
+    rows = sum(r for g, b, r, _ in cells if (1 << b) > ends[g])
+    return rows, sum(c for g, b, _, c in cells if (1 << b) <= ends[g])
+
+
+def test_unequal_thresholds_beat_the_best_equal_ones_on_skewed_partitions():
+    rng = random.Random(6)
+    for _ in range(30):
+        cells = []
+        for g in range(6):
+            for b in range(1, 12):
+                values = rng.choice([0, 0, 1, 3, 20]) if g % 2 or b < 4 else 0
+                if values:
+                    n = int(1.4 * 2**b)
+                    cells.append((g, b, values * n, values * n * (n - 1) // 2))
+        room = 0.2 * sum(r for _, _, r, _ in cells)
+        ends = neardup.thresholds(cells, 6, 0.2)
+        rows_, cost = outcome(cells, ends)
+        assert rows_ <= room
+        # no equal threshold within the room does better, nor any one partition's move
+        for end in range(1, 13):
+            r, c = outcome(cells, [(1 << end) - 1] * 6)
+            assert r > room or c >= cost
+        if len({*ends}) > 1:
+            break
+    else:
+        raise AssertionError("thresholds were always equal")
+    best = min(c for e in itertools.product(range(1, 13), repeat=2) for r, c in [outcome([x for x in cells if x[0] in (1, 3)], {1: (1 << e[0]) - 1, 3: (1 << e[1]) - 1})] if r <= 500)
+    two = [(g // 2, b, r, c) for g, b, r, c in cells if g in (1, 3)]
+    share = 500 / sum(r for _, _, r, _ in two)
+    assert best <= outcome(two, neardup.thresholds(two, 2, share))[1] <= 1.02 * best
+    assert neardup.thresholds([], 3, 0.2) == [1, 1, 1] and outcome(cells, neardup.thresholds(cells, 6, 0.0))[0] == 0
+
+
 def test_char_pairs_and_empty_table(spark):
     texts = {1: "https://a.example/x/long-path-1", 2: "https://a.example/x/long-path-2", 3: "ftp", 4: "ftp", 5: "other words"}
     df = spark.createDataFrame(list(texts.items()), "id long, text string")

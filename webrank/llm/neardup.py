@@ -2,12 +2,16 @@
 
 Every record's shingle set becomes a signature of ``partitions * width`` minhash symbols of 32 bits. The bits of one symbol
 agree or differ together, so correlated bits are grouped: ``width`` whole symbols form a partition, and a partition within
-distance 0 of another record's means equal partitions. Two sets at the wanted similarity agree in at least ``agree``
+distance 0 of another record's means equal values. Two sets at the wanted similarity agree in at least ``agree``
 partitions (but for a probability that :func:`miss_probability` gives), so a record may leave any ``agree - 1`` partitions
-out (threshold -1) and must probe all others (threshold 0). Which to leave out is decided for each record by estimated
-candidate counts, the exact number of records that share the partition's value. Choosing thresholds of least total cost
-under that budget is a knapsack with unit weights: its dynamic programme ends in the cheapest partitions, which is how it
-is computed. Both sides order partitions alike, hence every pair at the threshold meets in a probed partition. Pairs met
+out and must probe all others: it leaves out the dearest, by the exact number of records that share the value.
+
+How each value is probed is decided per partition. Values shared by at most the partition's threshold of records are probed alone. Values
+shared by more are probed only two at a time, since a pair of records that has no rare value in common has two frequent ones in
+common. The thresholds are unequal: every partition has a histogram of its values by the number of records, which tells for each
+threshold how many candidate pairs single probes give and how many records hold frequent values; a dynamic programme over the partitions picks
+the thresholds of least candidates among those that leave no more than ``FREQUENT_SHARE`` of all values to be probed two at a
+time. Thresholds belong to values, not to records, so both records of a pair probe alike and none is lost. Pairs met
 are checked by the Hamming distance of 256 one-bit minhashes in the join itself, and the rest by their exact sets.
 
 Records with equal text are one class: only one of them takes part in the search. Nothing is capped.
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webrank.llm import hashing
+from webrank.operators.skew import counted_join
 from webrank.plans.session import materialize
 
 SIGNATURE_BITS = 256
-HOT_KEY = 64
+#: Share of all shared values that may be probed two at a time, and the steps in which the programme counts it.
+FREQUENT_SHARE = 0.2
+STEPS = 400
 
 
 @dataclass(frozen=True)
@@ -122,6 +129,48 @@ def _verified(plan: Plan):
     return run
 
 
+def histograms(counts: DataFrame) -> list[tuple[int, int, int, int]]:
+    """``(g, bin, rows, candidates)`` of the values of each partition shared by 2**bin records or more, below twice as many:
+    the records that hold them and the pairs they meet in. A few dozen rows per partition come to the driver."""
+    n = F.col("n")
+    cells = counts.groupBy("g", F.floor(F.log2(n.cast("double"))).cast("int").alias("bin"))
+    rows = cells.agg(F.sum(n).alias("rows"), F.sum(n * (n - 1) / 2).cast("bigint").alias("candidates")).collect()
+    return sorted((r.g, r.bin, r.rows, r.candidates) for r in rows)
+
+
+def thresholds(cells: list[tuple[int, int, int, int]], partitions: int, share: float) -> list[int]:
+    """The greatest number of records for which a value of each partition is probed alone.
+
+    Of all choices that leave at most ``share`` of the rows to values above their partition's threshold, the one of fewest
+    candidate pairs from values below: a knapsack over the partitions, rows counted up in ``STEPS`` steps of the room there is.
+    """
+    room = share * sum(r for _, _, r, _ in cells)
+    top = 1 + max((b for _, b, _, _ in cells), default=0)
+    # by partition, the (weight, cost) of each end bin: rows above it, candidates below it
+    best = np.zeros(STEPS + 1)
+    picks = []
+    for g in range(partitions):
+        mine = [(b, r, c) for h, b, r, c in cells if h == g]
+        now, pick = np.full(STEPS + 1, np.inf), np.full(STEPS + 1, top)
+        for end in range(1, top + 1):
+            rows, cost = sum(r for b, r, _ in mine if b >= end), sum(c for b, _, c in mine if b < end)
+            weight = math.ceil(rows * STEPS / room) if room > 0 else (0 if not rows else STEPS + 1)
+            if weight <= STEPS:
+                moved = np.full(STEPS + 1, np.inf)
+                moved[weight:] = best[: STEPS + 1 - weight] + cost
+                better = moved < now
+                now, pick = np.where(better, moved, now), np.where(better, end, pick)
+        best = now
+        picks.append((pick, mine))
+    at, out = STEPS, []
+    for pick, mine in reversed(picks):
+        end = int(pick[at])
+        out.append((1 << end) - 1)
+        rows = sum(r for b, r, _ in mine if b >= end)
+        at -= math.ceil(rows * STEPS / room) if room > 0 else 0
+    return out[::-1]
+
+
 def records(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, text, fp)`` of rows with an id and a text, ``fp`` the MD5 of the text."""
     return df.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
@@ -139,27 +188,28 @@ def representative_pairs(df: DataFrame, id_col: str, text_col: str, plan: Plan)
     signed = rows.mapInArrow(_signed(plan), "id bigint, fp string, keys array<bigint>, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
     least = signed.groupBy("fp").agg(F.min(F.struct("id", "keys", "b0", "b1", "b2", "b3")).alias("r")).select("r.*")
     reps = materialize(least)
-    tokens = reps.select("id", F.explode("keys").alias("key"))
-    counts = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(tokens.join(counts, "key"))
-    # the agree - 1 dearest partitions of a record get threshold -1; values that nobody shares can't meet anyway
-    kept = (
-        shared.groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("t"))
+    tokens = reps.select("id", F.posexplode("keys").alias("g", "key"))
+    counts = materialize(tokens.groupBy("g", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if plan.agree > 1:
+        ends = F.array(*[F.lit(x) for x in thresholds(histograms(counts), plan.partitions, FREQUENT_SHARE)])
+        frequent = F.col("n") > F.get(ends, F.col("g"))
+    else:
+        frequent = F.lit(False)
+    counts = counts.select("key", "n", frequent.alias("frequent"))
+    # values that nobody shares can't meet; of the others the agree - 1 dearest of a record are left out
+    shared = (
+        counted_join(tokens.select("id", "key"), counts, ["key"], "n").where("n is not null")
+        .groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key", "frequent"))).alias("t"))
         .where(F.size("t") >= plan.agree)
-        .select("id", "t", F.explode(F.slice("t", 1, F.size("t") - (plan.agree - 1))).alias("p"))
     )
-    plain = kept.where(F.col("p.n") <= HOT_KEY).select("id", F.col("p.key").alias("k1"), F.lit(0).cast("bigint").alias("k2"))
-    probes = plain
+    shared = materialize(shared)
+    none = F.lit(0).cast("bigint")
+    kept = F.slice("t", 1, F.size("t") - (plan.agree - 1))
+    probes = shared.select("id", F.explode(F.filter(kept, lambda u: ~u["frequent"])).alias("p")).select("id", F.col("p.key").alias("k1"), none.alias("k2"))
     if plan.agree > 1:
-        # a pair at the threshold shares a second value too: values shared by many are probed together with it
-        other = F.explode(F.filter("t", lambda u: u["key"] != F.col("p.key")))
-        hot = kept.where(F.col("p.n") > HOT_KEY).select("id", F.col("p.key").alias("k1"), other.alias("o"))
-        probes = plain.unionByName(
-            hot.select("id", F.least("k1", "o.key").alias("k1"), F.greatest("k1", "o.key").alias("k2")).distinct()
-        )
-    else:
-        probes = kept.select("id", F.col("p.key").alias("k1"), F.lit(0).cast("bigint").alias("k2"))
+        often = shared.select("id", F.filter("t", lambda u: u["frequent"]).alias("h")).where(F.size("h") > 1)
+        later = lambda u, i: F.transform(F.slice(F.col("h"), i + 2, F.size("h")), lambda v: F.struct(F.least(u["key"], v["key"]).alias("k1"), F.greatest(u["key"], v["key"]).alias("k2")))
+        probes = probes.unionByName(often.select("id", F.inline(F.flatten(F.transform("h", later)))))
     probes = probes.join(reps.select("id", "b0", "b1", "b2", "b3"), "id")
     a = probes.select(F.col("id").alias("id_a"), "k1", "k2", *[F.col(f"b{i}").alias(f"a{i}") for i in range(4)])
     b = probes.select(F.col("id").alias("id_b"), "k1", "k2", "b0", "b1", "b2", "b3")
