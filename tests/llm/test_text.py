@@ -198,13 +198,19 @@ def test_pages_without_html_or_rows(spark):
 
 
 def test_line_model_counts_all_names_and_bounds_their_number(spark):
-    rows = [(["Menu", "The old castle of the town"], [styletree.FURNITURE, styletree.BODY])] * 40 + [(["Menu"], [styletree.OPEN]), ([], [])]
-    labelled = spark.createDataFrame(rows, "texts array<string>, label array<int>")
+    rows = [(["Menu", "The old castle of the town"], [styletree.FURNITURE, styletree.BODY], "h.example")] * 40 + [(["Menu"], [styletree.OPEN], None), ([], [], None)]
+    rows += [(["Castle tours", "The old castle of the town"], [styletree.BODY, styletree.FURNITURE], "g.example")] * 3
+    labelled = spark.createDataFrame(rows, "texts array<string>, label array<int>, host string")
     model = styletree.line_model(labelled)
     scores = model.scores(linecodes.Lines(["Menu\nThe old castle of the town"]))
     assert scores[0].argmax() == styletree.FURNITURE and scores[1].argmax() == styletree.BODY
     assert len(styletree.line_model(labelled, max_names=10).keys) <= 10 < len(model.keys)
     assert model.kinds(scores.tolist())[1] == styletree.BODY
+    # a content node that the page's own host always removes is furniture, whatever the words say
+    lines = linecodes.Lines(["The old castle of the town", "The old castle of the town", "The old castle of the town"])
+    hosts = ["h.example", "g.example", "other.example"]
+    assert model.scores(lines, hosts).argmax(axis=1).tolist() == [styletree.BODY, styletree.FURNITURE, styletree.BODY]
+    assert model.known(lines, hosts).tolist() == [False, True, False]
 
 
 def test_prose_model_tells_sentences_from_keywords(spark):

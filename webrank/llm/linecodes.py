@@ -12,6 +12,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 from webrank.llm.hashing import BASE, INVERSE, mix, powers, prefix_hash
 
@@ -27,6 +28,7 @@ SLICE_CHARS = 1 << 16
 SHORT = 14
 #: The last bits of a name's key tell its kind.
 KINDS = 16
+NODE = 15
 SPACE, DIGIT, ALNUM, UPPER, EDGE, BEYOND, WORD, ALPHA = (1 << i for i in range(8))
 LOWER, CAPITAL, NUMBER, MIXED, FOREIGN, SIGN, START, END = range(8)
 
@@ -113,8 +115,11 @@ class Lines:
         ends = np.append(np.flatnonzero(self.codes == 10), len(self.codes))
         return self.hashes(np.concatenate([[0], ends[:-1] + 1]), ends)
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """``(line, key)`` of every name of every line, a name as often as it occurs; a key modulo ``KINDS`` is the name's kind."""
+    def names(self, hosts: list[str | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """``(line, key)`` of every name of every line, a name as often as it occurs; a key modulo ``KINDS`` is the name's kind.
+
+        With the ``hosts`` of the pages each line also has the name of its content node: its host with its words.
+        """
         s, e, line, codes, flags = self.starts, self.ends, self.line, self.codes, self.flags
         if not len(s):
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -128,6 +133,10 @@ class Lines:
         n, first = self.n_words[full], self.first_word[full]
         last = first + n - 1
         word = self.hashes(s, e)
+        if hosts is not None:
+            sites = np.array([xxhash.xxh3_64_intdigest((h or "").encode("utf-8", "replace")) for h in hosts], np.uint64)
+            steps = powers(BASE, int(n.max()))[np.arange(len(s)) - self.first_word[line]]
+            add(NODE, full, np.add.reduceat(word * steps, first) * BASE + sites[self.page[full]])
         add(1, full, np.where(n < 12, n, 12 + np.minimum(n // 10, 8)))
         add(2, full, codes[e[last] - 1])
         add(3, full, np.minimum(np.bincount(line[self.marks], minlength=self.n_lines)[full], 3))

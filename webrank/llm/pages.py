@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrank.llm import prose, styletree
@@ -24,10 +24,13 @@ class Read:
     lines: styletree.LineModel
 
 
+def _host() -> Column:
+    return F.coalesce("host", F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
+
+
 def host_of(df: DataFrame) -> DataFrame:
     """``(id, host)`` of the crawled rows, the host from the URL where it is null."""
-    host = F.coalesce("host", F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
-    return df.where("crawl_id is not null").groupBy(F.col("crawl_id").alias("id")).agg(F.max(host).alias("host"))
+    return df.where("crawl_id is not null").groupBy(F.col("crawl_id").alias("id")).agg(F.max(_host()).alias("host"))
 
 
 def _reader(lines: styletree.LineModel, model: prose.ProseModel, text: bool):
@@ -37,11 +40,11 @@ def _reader(lines: styletree.LineModel, model: prose.ProseModel, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = styletree.LineModel(keys, like), prose.ProseModel(words, tables, band)
         for batch in batches:
-            ids, prints, values = (batch.column(k).to_pylist() for k in range(3))
+            ids, prints, values, hosts = (batch.column(k).to_pylist() for k in range(4))
             for at, end in slices(values):
                 part = Lines([plain(x) for x in values[at:end]])
                 n = end - at
-                scores = reader.scores(part)
+                scores = reader.scores(part, hosts[at:end])
                 filled = np.flatnonzero(part.filled)
                 bounds = np.searchsorted(part.page[filled], np.arange(n + 1))
                 wanted, mains = np.zeros(part.n_lines, bool), []
@@ -99,7 +102,7 @@ def read_pages(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame, t
     lines = styletree.line_model(labelled)
     model = prose.train(prose_texts, "text", "lang" if "lang" in prose_texts.columns else None)
     schema = "crawl_id bigint, fp bigint, main array<int>, prose_share double, n_tokens bigint, codes binary" + (", main_text string" if text else "")
-    stored = crawl.where("crawl_id is not null and page is not null").select(F.col("crawl_id").cast("bigint"), F.xxhash64("page").alias("fp"), "page")
+    stored = crawl.where("crawl_id is not null and page is not null").select(F.col("crawl_id").cast("bigint"), F.xxhash64("page").alias("fp"), "page", _host().alias("host"))
     read = stored.mapInArrow(_reader(lines, model, text), schema)
     rest = [c for c in read.columns if c != "crawl_id"]
     bodies = materialize(read.groupBy("crawl_id").agg(F.max(F.struct(*rest)).alias("x")).select("crawl_id", *[f"x.{c}" for c in rest if c != "fp"]))
@@ -123,11 +126,11 @@ def main_lines(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = styletree.LineModel(keys, like)
         for batch in batches:
-            ids, numbers, texts, labels, mains = (batch.column(k).to_pylist() for k in range(5))
+            ids, numbers, texts, labels, mains, hosts = (batch.column(k).to_pylist() for k in range(6))
             values = ["\n".join(x) for x in texts]
             for at, end in slices(values):
                 part = Lines(values[at:end])
-                scores = model.scores(part)
+                scores = model.scores(part, hosts[at:end])
                 out: tuple[list, list] = ([], [])
                 for k in range(at, end):
                     first = part.first_line[k - at]
@@ -139,6 +142,6 @@ def main_lines(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame) -
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32())], names=["crawl_id", "line_no"])
 
     spam = pages.where("spam").select(F.col("crawl_id").alias("id"))
-    held = read.labelled.join(spam, "id", "left_anti").select("id", "line_no", "texts", "label", "main")
+    held = read.labelled.join(spam, "id", "left_anti").select("id", "line_no", "texts", "label", "main", "host")
     marked = held.mapInArrow(run, "crawl_id bigint, line_no int").select(F.lit("html").alias("field"), "crawl_id", "line_no")
     return flat.unionByName(marked)
