@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from webrank.llm.hashing import BASE, INVERSE, mix, powers, prefix_hash
@@ -58,6 +60,13 @@ def plain(text: str) -> str:
     return text
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[str], limit: int = SLICE_CHARS) -> list[tuple[int, int]]:
     """``(start, end)`` of runs of texts with at most ``limit`` characters, one text at least."""
     out, at, size = [], 0, 0

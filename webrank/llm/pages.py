@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrank.llm import prose, styletree
-from webrank.llm.linecodes import Lines, plain, sequences, slices
+from webrank.llm.linecodes import Lines, plain, sequences, slices, small
 from webrank.plans.session import materialize
 
 
@@ -39,7 +39,7 @@ def _reader(lines: styletree.LineModel, model: prose.ProseModel, text: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = styletree.LineModel(keys, like), prose.ProseModel(words, tables, band)
-        for batch in batches:
+        for batch in small(batches):
             ids, prints, values, hosts = (batch.column(k).to_pylist() for k in range(4))
             for at, end in slices(values):
                 part = Lines([plain(x) for x in values[at:end]])
@@ -80,7 +80,7 @@ def _scored(model: prose.ProseModel, keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = prose.ProseModel(words, tables, pages=ends)
-        for batch in batches:
+        for batch in small(batches):
             means = scorer.means(*prose.joined(batch.column("codes")), batch.num_rows)
             odd = scorer.abnormal(means) & (batch.column("n_tokens").to_numpy() > 0)
             yield batch.select(keep).append_column("perplexity", pa.array(np.exp(-means))).append_column("spam", pa.array(odd))
@@ -125,7 +125,7 @@ def main_lines(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = styletree.LineModel(keys, like)
-        for batch in batches:
+        for batch in small(batches):
             ids, numbers, texts, labels, mains, hosts = (batch.column(k).to_pylist() for k in range(6))
             values = ["\n".join(x) for x in texts]
             for at, end in slices(values):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.llm.linecodes import END, MIXED, NUMBER, SIGN, START, Lines, Vocabulary, plain, sequences, slices
+from webrank.llm.linecodes import END, MIXED, NUMBER, SIGN, START, Lines, Vocabulary, plain, sequences, slices, small
 
 #: A word is a function word of a language if it occurs in this share of the language's texts, and in this many at least.
 FUNCTION_SHARE = 0.25
@@ -177,10 +177,11 @@ def language(lang: str | None) -> str:
 
 def _encoded(batch: pa.RecordBatch, vocabulary: Vocabulary, held: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(line, code)`` of the lines that are held out of the training, one in ``HELD_OUT`` by their text, or of all others."""
-    texts = batch.column(0).to_pylist()
-    for at, end in slices(texts):
-        lines = Lines(texts[at:end])
-        yield sequences(*lines.tokens(vocabulary), (lines.line_hashes() % np.uint64(HELD_OUT) == 0) == held)
+    for part in small(iter([batch])):
+        texts = part.column(0).to_pylist()
+        for at, end in slices(texts):
+            lines = Lines(texts[at:end])
+            yield sequences(*lines.tokens(vocabulary), (lines.line_hashes() % np.uint64(HELD_OUT) == 0) == held)
 
 
 def train(df: DataFrame, text: str, lang: str | None = None) -> ProseModel:
