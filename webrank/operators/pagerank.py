@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrank.plans.session import materialize
+from webrank.plans.session import materialize, release
 
 DAMPING = 0.85
 
@@ -31,12 +31,13 @@ def pagerank(edges: DataFrame, nodes: DataFrame | None = None, rounds: int | Non
     fan_out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
     weighted = materialize(links.join(fan_out, "src").join(inside.withColumnRenamed("url", "dst"), "dst", "left_semi").select("src", "dst", (F.lit(DAMPING) / F.col("n")).alias("w")))
     members = fan_out.select(F.col("src").alias("url")).union(weighted.select("dst")).distinct()
-    ranks = materialize(members.select("url", F.lit(1.0).alias("rank")))
+    ranks = stored = materialize(members.select("url", F.lit(1.0).alias("rank")))
     for _ in range(rounds) if rounds is not None else count():  # changes shrink by the damping in every round
         share = weighted.join(ranks.withColumnRenamed("url", "src"), "src").groupBy("dst").agg(F.sum(F.col("w") * F.col("rank")).alias("sum"))
         new = ranks.join(share.withColumnRenamed("dst", "url"), "url", "left").select("url", F.col("rank").alias("prev"), (F.coalesce("sum", F.lit(0.0)) + (1 - DAMPING)).alias("rank"))
         new = materialize(new)
-        ranks = new.select("url", "rank")
+        release(stored)
+        stored, ranks = new, new.select("url", "rank")
         if rounds is None:
             change = F.col("rank") - F.col("prev")
             greatest = new.agg(F.max(F.abs(change) if metric == "abs" else change).alias("c")).first()["c"]

@@ -46,15 +46,27 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.webrank_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the files of a :func:`materialize` result that nothing will read any more."""
+    path = getattr(df, "webrank_path", None)
+    if path in _written:
+        _delete(path, _written.pop(path))
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 @atexit.register
 def _clean() -> None:
     for path, spark in _written.items():
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path, spark)
         except Exception:  # noqa: BLE001 - the session may be gone already
             return

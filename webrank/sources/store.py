@@ -99,6 +99,30 @@ def list_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def catalog_tables(spark: SparkSession) -> DataFrame:
+    """``(name, n, persistent)`` of all tables of the session's catalog; views of the session alone are not persistent (SNK11)."""
+    out = spark.createDataFrame([], "name string, n bigint, persistent boolean")
+    for t in spark.catalog.listTables():
+        one = spark.table(f"`{t.name}`").agg(F.count(F.lit(1)).alias("n"))
+        out = out.unionByName(one.select(F.lit(t.name).alias("name"), "n", F.lit(not t.isTemporary).alias("persistent")))
+    return out
+
+
+def put_cell(spark: SparkSession, name: str, key: str, value: str, column: str, cell: str) -> None:
+    """Sets one cell of the row of a key in a catalog table, making the row where there is none (SNK2). The table is written anew
+    beside the old one and takes its name when it is whole."""
+    table = spark.table(f"`{name}`")
+    types = {f.name: f.dataType for f in table.schema}
+    is_row = F.col(key) == F.lit(value).cast(types[key])
+    changed = table.withColumn(column, F.when(is_row, F.lit(cell).cast(types[column])).otherwise(F.col(column)))
+    fresh = [F.lit(value).cast(t).alias(c) if c == key else (F.lit(cell) if c == column else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    there = table.where(is_row).agg(F.count(F.lit(1)).alias("n"))
+    added = there.where("n = 0").select(*fresh)
+    persist(changed.unionByName(added), f"{name}__new")
+    delete(spark, name)
+    rename(spark, f"{name}__new", name)
+
+
 def row_text(df: DataFrame, key: str) -> DataFrame:
     """The text form ``key { column: value, ... }`` of each row, columns in order and nulls left out (FMT1)."""
     cells = [F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in sorted(df.columns) if c != key]
@@ -106,8 +130,8 @@ def row_text(df: DataFrame, key: str) -> DataFrame:
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Command line: ``get TABLE KEY_COLUMN KEY``, ``scan TABLE KEY_COLUMN [START [STOP]]``, ``count TABLE``, ``rename OLD NEW``,
-    ``delete TABLE`` on the tables of the session's catalog (SNK10)."""
+    """Command line: ``get TABLE KEY_COLUMN KEY``, ``put TABLE KEY_COLUMN KEY COLUMN VALUE``, ``scan TABLE KEY_COLUMN [START [STOP]]``,
+    ``count TABLE``, ``persist PARQUET_PATH TABLE``, ``rename OLD NEW``, ``delete TABLE``, ``list`` on the tables of the session's catalog (SNK10)."""
     import sys
 
     args = sys.argv[1:] if argv is None else argv
@@ -117,6 +141,12 @@ def main(argv: list[str] | None = None) -> int:
             get_row(spark.table(table), key, value).show(truncate=False)
         case ["scan", table, key, *ends]:
             row_text(scan(spark.table(table), key, *ends).orderBy(key), key).show(truncate=False)
+        case ["put", table, key, value, column, cell]:
+            put_cell(spark, table, key, value, column, cell)
+        case ["persist", path, table]:
+            persist(spark.read.parquet(path), table)
+        case ["list"]:
+            catalog_tables(spark).orderBy("name").show(1000, truncate=False)
         case ["count", table]:
             print(spark.table(table).count())
         case ["rename", old, new]:
