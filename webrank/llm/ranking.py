@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrank.operators.ranged import running_counts
+from webrank.operators.skew import counted_join
 from webrank.plans.session import materialize
 
 
@@ -27,10 +28,13 @@ def borda(df: DataFrame, group: str, item: str, scores: dict[str, float]) -> Dat
         rows.select("g", "i", F.posexplode(F.array(*[F.col(f"s{k}") for k in range(len(names))])).alias("k", "v"))
     )
     values = long.where("v is not null").groupBy("g", "k", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranks = running_counts(values, ["g", "k"], ["v"], "c", "lower").select("g", "k", "v", (F.col("lower") + (F.col("c") + 1) / 2).alias("r"))
+    ranks = running_counts(values, ["g", "k"], ["v"], "c", "lower").select("g", "k", "v", "c", (F.col("lower") + (F.col("c") + 1) / 2).alias("r"))
     known = values.groupBy("g", "k").agg(((F.sum("c") + 1) / 2).alias("mid"))
     weights = F.element_at(F.array(*[F.lit(float(scores[s])) for s in names]), F.col("k") + 1)
-    placed = long.join(ranks, ["g", "k", "v"], "left").join(known, ["g", "k"], "left")
+    # a value that many items share is broadcast with its rank, its rows stay where they are
+    given = counted_join(long.where("v is not null"), materialize(ranks), ["g", "k", "v"], "c").select("g", "i", "k", "r")
+    missing = long.where("v is null").select("g", "i", "k", F.lit(None).cast("double").alias("r"))
+    placed = given.unionByName(missing).join(known, ["g", "k"], "left")
     points = F.sum(weights * F.coalesce("r", "mid", F.lit(0.0)))
     return placed.groupBy("g", "i").agg(F.round(points, 6).alias("points")).select(F.col("g").alias(group), F.col("i").alias(item), "points")
 
