@@ -369,3 +369,13 @@ def stream_host_state(spark, sf):
     rows = s.run_available(s.host_state(stream, "host", "fetched_at"), scratch(spark), "update")
     last = rows.groupBy("host").agg(F.max_by(F.struct("fetches", "last_access"), "batch").alias("x"))
     return last.select("host", "x.fetches", F.unix_micros("x.last_access").alias("last_us"))
+
+
+@R.add("SELECT epoch_us(date_trunc('day', fetched_at)) AS start_us, count(*) AS fetches FROM crawl WHERE fetched_at IS NOT NULL GROUP BY 1")
+def stream_fetch_windows(spark, sf):
+    from webrank.streaming import crawlstream as s
+
+    stream = s.read_stream(spark, f"{sf}/crawl.parquet").select(F.col("fetched_at").cast("timestamp").alias("fetched_at")).where("fetched_at is not null")
+    rows = s.run_available(s.fetch_windows(stream, "fetched_at", "1 day", "1000 days"), scratch(spark), "update")
+    last = rows.groupBy("start").agg(F.max_by("fetches", "batch").alias("fetches"))
+    return last.select(F.unix_micros("start").alias("start_us"), "fetches")
