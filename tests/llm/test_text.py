@@ -191,6 +191,38 @@ def test_main_lines_and_spam(spark):
     assert read.pages.count() == 121
 
 
+@pytest.mark.parametrize("max_names", [0, 40])
+def test_names_beyond_the_bound_keep_their_weights(spark, monkeypatch, max_names):
+    crawl, raw, docs = corpus(spark)
+    # a page that comes twice under one id, and one under two hosts
+    crawl = crawl.unionByName(crawl.where("crawl_id in (5, 6)")).unionByName(crawl.where("crawl_id = 8").withColumn("host", F.lit("www.site3.example")))
+
+    def results():
+        lines = rows(pages.main_lines(crawl, raw, docs))
+        return lines, rows(pages.read_pages(crawl, raw, docs, text=True).pages)
+
+    whole = results()
+    bounded, made = styletree.line_model, []
+
+    def line_model(labelled):
+        made.append((bounded(labelled), bounded(labelled, max_names)))
+        return made[-1][1]
+
+    monkeypatch.setattr(styletree, "line_model", line_model)
+    assert results() == whole
+    full, part = made[0]
+    assert len(part.keys) <= max_names and len(part.keys) + part.rest.count() == len(full.keys) and full.rest is None
+    # the scores of single lines are the same to the last bit, a name that a line has twice included
+    texts = ["Home | News | Contact\n\nThe old castle near the old castle near the old castle", "", "Terms of use\nbuy zorbi xanbu"]
+    hosts = ["www.site1.example", None, "www.site2.example"]
+    df = spark.createDataFrame([(i, x, h) for i, (x, h) in enumerate(zip(texts, hosts))], "i int, text string, host string")
+    found = {r.i: r.rare for r in styletree.with_rare(df, ["i"], "text", str, part).collect()}
+    rare = pa.array([found[i] and [x.asDict() for x in found[i]] for i in range(3)])
+    lines = linecodes.Lines(texts)
+    assert (part.scores(lines, hosts, rare) == full.scores(lines, hosts)).all()
+    assert (part.scores(lines, hosts) != full.scores(lines, hosts)).any()
+
+
 def test_pages_without_html_or_rows(spark):
     crawl, raw, docs = corpus(spark)
     assert pages.read_pages(crawl, raw.where("false"), docs).pages.where("size(main) > 0").count() >= 120

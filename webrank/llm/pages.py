@@ -35,16 +35,17 @@ def host_of(df: DataFrame) -> DataFrame:
 
 def _reader(lines: styletree.LineModel, model: prose.ProseModel, text: bool):
     keys, like, (words, tables, band) = lines.keys, lines.like, (model.words, model.tables, model.band)
-    fallback = not len(keys)
+    fallback = not len(keys) and lines.rest is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, scorer = styletree.LineModel(keys, like), prose.ProseModel(words, tables, band)
         for batch in small(batches):
             ids, prints, values, hosts = (batch.column(k).to_pylist() for k in range(4))
+            rare = batch.column(4)
             for at, end in slices(values):
                 part = Lines([plain(x) for x in values[at:end]])
                 n = end - at
-                scores = reader.scores(part, hosts[at:end])
+                scores = reader.scores(part, hosts[at:end], rare.slice(at, n))
                 filled = np.flatnonzero(part.filled)
                 bounds = np.searchsorted(part.page[filled], np.arange(n + 1))
                 wanted, mains = np.zeros(part.n_lines, bool), []
@@ -103,6 +104,8 @@ def read_pages(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame, t
     model = prose.train(prose_texts, "text", "lang" if "lang" in prose_texts.columns else None)
     schema = "crawl_id bigint, fp bigint, main array<int>, prose_share double, n_tokens bigint, codes binary" + (", main_text string" if text else "")
     stored = crawl.where("crawl_id is not null and page is not null").select(F.col("crawl_id").cast("bigint"), F.xxhash64("page").alias("fp"), "page", _host().alias("host"))
+    stored = stored.withColumn("row", F.xxhash64("page", F.coalesce("host", F.lit(""))))
+    stored = styletree.with_rare(stored, ["crawl_id", "row"], "page", plain, lines).select("crawl_id", "fp", "page", "host", "rare")
     read = stored.mapInArrow(_reader(lines, model, text), schema)
     rest = [c for c in read.columns if c != "crawl_id"]
     bodies = materialize(read.groupBy("crawl_id").agg(F.max(F.struct(*rest)).alias("x")).select("crawl_id", *[f"x.{c}" for c in rest if c != "fp"]))
@@ -128,9 +131,10 @@ def main_lines(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame) -
         for batch in small(batches):
             ids, numbers, texts, labels, mains, hosts = (batch.column(k).to_pylist() for k in range(6))
             values = ["\n".join(x) for x in texts]
+            rare = batch.column(6)
             for at, end in slices(values):
                 part = Lines(values[at:end])
-                scores = model.scores(part, hosts[at:end])
+                scores = model.scores(part, hosts[at:end], rare.slice(at, end - at))
                 out: tuple[list, list] = ([], [])
                 for k in range(at, end):
                     first = part.first_line[k - at]
@@ -143,5 +147,6 @@ def main_lines(crawl: DataFrame, raw_pages: DataFrame, prose_texts: DataFrame) -
 
     spam = pages.where("spam").select(F.col("crawl_id").alias("id"))
     held = read.labelled.join(spam, "id", "left_anti").select("id", "line_no", "texts", "label", "main", "host")
+    held = styletree.with_rare(held, ["id"], "texts", "\n".join, read.lines).select(*held.columns, "rare")
     marked = held.mapInArrow(run, "crawl_id bigint, line_no int").select(F.lit("html").alias("field"), "crawl_id", "line_no")
     return flat.unionByName(marked)

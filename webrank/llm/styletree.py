@@ -22,8 +22,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +46,14 @@ STRENGTH = 4.0
 REMOVED = (0.0, -1e3, -1e3, -1e3)
 #: With this many pages a host's own spread counts half: its few pages may be copies of one another.
 HOST_PAGES = 4
-#: At most this many names have weights in the line model: the commonest ones, all of them counted over all lines.
+#: At most this many names have their weights in memory, the commonest ones; those of all others are joined to the lines that have them.
 MODEL_NAMES = 1 << 21
+#: Weights are multiples of one in this many, so that their sums are exact in any order.
+GRID = 1 << 18
+#: The weights of the rarer names of each line of a page, added up.
+RARE = "array<struct<line: int, s0: double, s1: double, s2: double, s3: double>>"
+#: At most this many bits tell which names may be among the rarer ones.
+NAME_BITS = 1 << 28
 STRUCTURE = frozenset("div nav main article section aside footer header form ul ol dl table tbody thead tr td center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 b strong".split())
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
@@ -304,27 +309,24 @@ class LineModel:
         )
     ).tolist()
 
-    def __init__(self, keys: np.ndarray, like: np.ndarray):
-        self.keys, self.like = keys, like
+    def __init__(self, keys: np.ndarray, like: np.ndarray, rest: DataFrame | None = None):
+        self.keys, self.like, self.rest = keys, like, rest
         self.table = Table(keys, like)
 
-    @classmethod
-    def counted(cls, keys: np.ndarray, counts: np.ndarray) -> LineModel:
-        """The model of how often each name occurs in lines of each kind; names of one kind share the lines' weight among them."""
-        kind = (keys.astype(np.uint64) % np.uint64(KINDS)).astype(np.int64)
-        totals = np.stack([np.bincount(kind, counts[:, k], minlength=KINDS) for k in range(counts.shape[1])], axis=1) + 1.0
-        prior = (totals / totals.sum(axis=1, keepdims=True))[kind]
-        seen = counts.sum(axis=1, keepdims=True)
-        like = np.log((counts + STRENGTH * prior) / (seen + STRENGTH) / prior)
-        like[kind == NODE] = np.where(counts[kind == NODE, FURNITURE] == seen[kind == NODE, 0], 1.0, 0.0)[:, None] * np.array(REMOVED)
-        return cls(keys, like.astype(np.float32))
-
-    def scores(self, lines: Lines, hosts: list[str | None] | None = None) -> np.ndarray:
-        """Log-likelihood of furniture, heading, body and insert of each line, up to a common constant."""
-        return self.table.sums(*lines.names(hosts), lines.n_lines)
+    def scores(self, lines: Lines, hosts: list[str | None] | None = None, rare: pa.ListArray | None = None) -> np.ndarray:
+        """Log-likelihood of furniture, heading, body and insert of each line, up to a common constant.
+
+        ``rare`` are the weights of rarer names for each page, as :func:`with_rare` gives them; without them the names in memory count.
+        """
+        out = self.table.sums(*lines.names(hosts), lines.n_lines).astype(np.float64, copy=False)  # counts of nothing are integers
+        if rare is not None and rare.null_count < len(rare):
+            sizes = rare.value_lengths().fill_null(0).to_numpy()
+            line, *weights = (x.to_numpy() for x in rare.flatten().flatten())
+            out[line + np.repeat(lines.first_line, sizes)] += np.stack(weights, axis=1)
+        return out
 
     def known(self, lines: Lines, hosts: list[str | None]) -> np.ndarray:
-        """Whether each line is a content node that its host's tree always removes."""
+        """Whether each line is a content node, one in memory, that its host's tree always removes."""
         line, keys = lines.names(hosts)
         node = keys % np.uint64(KINDS) == NODE
         found = self.table.find(keys[node])
@@ -387,22 +389,111 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), *(pa.array(counts[:, k]) for k in range(4))], names=["name", "c0", "c1", "c2", "c3"])
 
 
+def name_weights(keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """The weights of names that occur ``counts`` times in lines of each label; names of one kind share its ``totals`` among them."""
+    kind = (keys.astype(np.uint64) % np.uint64(KINDS)).astype(np.int64)
+    prior = (totals / totals.sum(axis=1, keepdims=True))[kind]
+    seen = counts.sum(axis=1, keepdims=True)
+    like = np.round(np.log((counts + STRENGTH * prior) / (seen + STRENGTH) / prior) * GRID) / GRID
+    like[kind == NODE] = np.where(counts[kind == NODE, FURNITURE] == seen[kind == NODE, 0], 1.0, 0.0)[:, None] * np.array(REMOVED)
+    return like.astype(np.float32)
+
+
+def _columns(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """``(names, counts)`` of rows of ``(name, c0, c1, c2, c3)``."""
+    counts = np.empty((table.num_rows, 4))
+    for k in range(4):
+        counts[:, k] = table.column(f"c{k}").to_numpy()
+    return table.column("name").to_numpy().view(np.uint64), counts
+
+
 def line_model(labelled: DataFrame, max_names: int = MODEL_NAMES) -> LineModel:
     """The model of all lines of ``labelled(texts, label, host)`` that have a label.
 
-    Every name is counted over all of them. Names seen twice have weights, or, where those are more than ``max_names``, names
-    seen so often that no more remain: that many rows of five numbers come to the driver at most.
+    Every name is counted over all of them, and every name seen twice has weights. Where those are more than ``max_names``, the
+    driver gets the names seen so often that no more remain, that many rows of five numbers at most; the weights of all others
+    stay in the model's ``rest(name, s0, s1, s2, s3)``, and :func:`with_rare` joins them to the lines.
     """
     rows = labelled.select("texts", "label", "host").mapInArrow(_count, "name bigint, c0 bigint, c1 bigint, c2 bigint, c3 bigint")
-    counts = rows.groupBy("name").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]).withColumn("t", F.expr("c0 + c1 + c2 + c3")).where("t >= 2")
+    sums = [F.sum(f"c{k}").alias(f"c{k}") for k in range(4)]
+    counts = rows.groupBy("name").agg(*sums).withColumn("t", F.expr("c0 + c1 + c2 + c3")).where("t >= 2")
     counts = materialize(counts)
-    sizes: Counter = Counter({r.t: r.n for r in counts.groupBy(F.least("t", F.lit(1 << 16)).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()})
-    left, least = sum(sizes.values()), 2
-    while left > max_names:
-        left -= sizes[least]
-        least += 1
-    kept = counts.where(F.col("t") >= least).toArrow()
-    table = np.empty((len(kept), 4))
-    for k in range(4):
-        table[:, k] = kept.column(f"c{k}").to_numpy()
-    return LineModel.counted(kept.column("name").to_numpy().view(np.uint64), table)
+    totals = np.ones((KINDS, 4))
+    for r in counts.groupBy(F.col("name").bitwiseAND(KINDS - 1).alias("kind")).agg(*sums).collect():
+        totals[r.kind] += [r.c0, r.c1, r.c2, r.c3]
+    # different counts are few: n of them stand for n * n / 2 occurrences at least
+    sizes = dict(zip(*(x.to_pylist() for x in counts.groupBy("t").agg(F.count(F.lit(1)).alias("n")).toArrow().columns)))
+    room, least = max_names, 2
+    for t in sorted(sizes, reverse=True):
+        if sizes[t] > room:
+            least = t + 1
+            break
+        room -= sizes[t]
+    keys, table = _columns(counts.where(F.col("t") >= least).toArrow())
+    rest = None
+    if least > 2:
+
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                like = name_weights(*_columns(batch), totals)
+                yield pa.RecordBatch.from_arrays([batch.column("name"), *(pa.array(like[:, k]) for k in range(4))], names=["name", "s0", "s1", "s2", "s3"])
+
+        rest = materialize(counts.where(F.col("t") < least).drop("t").mapInArrow(weigh, "name bigint, s0 float, s1 float, s2 float, s3 float"))
+    return LineModel(keys, name_weights(keys, table, totals), rest)
+
+
+def _name_bits(names: DataFrame) -> tuple[np.ndarray, int]:
+    """``(bits, shift)``: the bit at ``key >> shift`` is set for every key of ``names(name)``, and for few others."""
+    size = min(NAME_BITS, 1 << max(6, (8 * names.count()).bit_length()))
+    shift = 65 - size.bit_length()
+    at = F.shiftrightunsigned("name", shift)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(name, {shift}) & 63 as int))")
+    rows = names.groupBy(F.shiftrightunsigned(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(size >> 6, np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits, shift
+
+
+def with_rare(df: DataFrame, ids: list[str], value: str, read: Callable[[object], str], model: LineModel) -> DataFrame:
+    """``df(*ids, value, host)`` with the column ``rare`` of the weights of names that ``model`` doesn't hold in memory.
+
+    ``read`` makes a page's text of its ``value``. Rows of the same ``ids`` must have the same text and host; ids must not be null.
+    Names that many lines have are broadcast, all others joined by a shuffle.
+    """
+    if model.rest is None:
+        return df.withColumn("rare", F.lit(None).cast(RARE))
+    keys, like = model.keys, model.like
+    bits, shift = _name_bits(model.rest)
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*ids).schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(keys, like)
+        for batch in small(batches):
+            values, hosts = [read(x) for x in batch.column(len(ids)).to_pylist()], batch.column(len(ids) + 1).to_pylist()
+            for at, end in slices(values):
+                lines = Lines(values[at:end])
+                line, names = lines.names(hosts[at:end])
+                place = names >> np.uint64(shift)
+                likely = np.flatnonzero(bits[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+                likely = likely[~table.used[table.find(names[likely])]]
+                line, names = line[likely], names[likely]
+                order = np.lexsort((names, line))
+                line, names = line[order], names[order]
+                new = np.ones(len(line), bool)
+                new[1:] = (line[1:] != line[:-1]) | (names[1:] != names[:-1])
+                first = np.flatnonzero(new)
+                line, names, times = line[first], names[first], np.diff(np.append(first, len(new)))
+                page = lines.page[line]
+                of = pa.array(page + at)
+                cols = [batch.column(k).take(of) for k in range(len(ids))]
+                cols += [pa.array((line - lines.first_line[page]).astype(np.int32)), pa.array(names.view(np.int64)), pa.array(times.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=[*ids, "line", "name", "times"])
+
+    cells = materialize(df.select(*ids, value, "host").mapInArrow(run, ", ".join([*columns, "line int", "name bigint", "times int"])))
+    met = materialize(model.rest.join(cells.groupBy("name").agg(F.count(F.lit(1)).alias("n")), "name"))
+    found = counted_join(cells, met, ["name"], "n").where("s0 is not null")
+    # a page may be there several times; all three groupings share one shuffle
+    once = found.repartition(*ids).dropDuplicates([*ids, "line", "name"])
+    sums = once.groupBy(*ids, "line").agg(*[F.sum(F.col("times") * F.col(f"s{k}").cast("double")).alias(f"s{k}") for k in range(4)])
+    rare = sums.groupBy(*ids).agg(F.collect_list(F.struct("line", "s0", "s1", "s2", "s3")).alias("rare"))
+    return df.join(rare, ids, "left")
