@@ -1,6 +1,7 @@
 """Wrong encodings, main text, keyword pages and token sizes."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -277,6 +278,38 @@ def test_second_step_learns_the_lists_of_honest_pages(spark):
     assert prose.second_step(model, df.where("false")).pages == (prose.FAR * model.band[0], model.band[1])
 
 
+def test_second_step_holds_the_arrays_of_few_pages_at_a_time(spark):
+    _, _, docs = corpus(spark)
+    model = prose.train(docs, "text", "lang")
+    rng = np.random.default_rng(1)
+    body = np.full((8000, 303), prose.START, np.uint16)
+    body[:, 2:-1], body[:, -1] = rng.integers(0, prose.START, (8000, 300)), prose.END
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in body], pa.binary())], names=["codes"])
+    peaks = []
+
+    class Pages:
+        """One batch of pages whose functions run here, so that their memory can be told."""
+
+        def where(self, *_):
+            return self
+
+        select = where
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            tracemalloc.start()
+            out = list(run(iter([batch])))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            return spark.createDataFrame(pa.Table.from_batches(out))
+
+    second = prose.second_step(model, Pages())
+    assert len(peaks) == 2 and max(peaks) < 100e6  # an array of 64-bit numbers for all codes takes 19 MB
+    assert second.tables[0].sum() - model.tables[0].sum() == 8000 * 302
+    assert second.tables[0, prose.START] - model.tables[0, prose.START] == 8000
+    longer = pa.RecordBatch.from_arrays([pa.array([b"ab", None, bytes(prose.CODE_BYTES + 2), b"", b"cd"], pa.binary())], names=["codes"])
+    assert [x.column("codes").to_pylist() for x in prose.few(iter([longer]))] == [[b"ab", None], [bytes(prose.CODE_BYTES + 2)], [b"", b"cd"]]
+
+
 @pytest.mark.skipif(not os.path.exists(tokens.DEFAULT_RANKS), reason="no tokenizer file")
 def test_token_sizes(spark):
     df = spark.createDataFrame([(1, "one two three", 9), (2, "", 9), (3, None, 9), (4, "<|endoftext|> é漢", 9)], "id int, text string, n_tokens int")

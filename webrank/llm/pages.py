@@ -81,7 +81,7 @@ def _scored(model: prose.ProseModel, keep: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = prose.ProseModel(words, tables, pages=ends)
-        for batch in small(batches):
+        for batch in prose.few(batches):
             means = scorer.means(*prose.joined(batch.column("codes")), batch.num_rows)
             odd = scorer.abnormal(means) & (batch.column("n_tokens").to_numpy() > 0)
             yield batch.select(keep).append_column("perplexity", pa.array(np.exp(-means))).append_column("spam", pa.array(odd))

@@ -41,6 +41,8 @@ PAGE_TAIL, PAGE_ROOM = 0.001, 0.15
 RUN = re.compile("[^ \t\r\n]+")
 TOKEN = re.compile(r"[A-Za-z0-9_]+|[^\w\s]")
 BINS, SCALE = 1200, 50.0
+#: Bytes of codes that are counted or scored at a time: the arrays made for it are many times as large.
+CODE_BYTES = 1 << 19
 
 
 def tokens(line: str) -> list[str]:
@@ -256,8 +258,8 @@ def second_step(model: ProseModel, bodies: DataFrame) -> ProseModel:
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
-        for batch in batches:
-            counts.add(joined(batch.column(0))[1])
+        for batch in few(batches):
+            counts.add(joined(batch.column("codes"))[1])
         yield counts.batch()
 
     more = Counts.collected(chosen.mapInArrow(grams, "slot bigint, n bigint")).tables
@@ -265,8 +267,8 @@ def second_step(model: ProseModel, bodies: DataFrame) -> ProseModel:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, hist = ProseModel(words, tables), np.zeros(BINS, np.int64)
-        for batch in batches:
-            means = scorer.means(*joined(batch.column(0)), batch.num_rows)
+        for batch in few(batches):
+            means = scorer.means(*joined(batch.column("codes")), batch.num_rows)
             hist += np.bincount(np.minimum(BINS - 1, (-means * SCALE).astype(np.int64)), minlength=BINS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS)), pa.array(hist)], names=["bin", "n"])
 
@@ -276,6 +278,13 @@ def second_step(model: ProseModel, bodies: DataFrame) -> ProseModel:
     return ProseModel(words, tables, model.band, (low * (1 + PAGE_ROOM), high * (1 - PAGE_ROOM)))
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of pages with ``codes`` in pieces of at most ``CODE_BYTES`` of them, one page at least."""
+    for batch in small(batches):
+        for at, end in slices([x or b"" for x in batch.column("codes").to_pylist()], CODE_BYTES):
+            yield batch.slice(at, end - at)
+
+
 def joined(bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(owner, code)`` of the sequences of all pages of a binary array."""
     parts = [np.frombuffer(x or b"", np.uint16) for x in bodies.to_pylist()]
